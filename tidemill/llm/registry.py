@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
+from .html_template import op8_html_template
+from .language_ppm import op5_language_ppm
 from .minhash_forest import op10_minhash_forest
+from .warc import op3_warc
 
 
 def queries():
-    return {"op10_minhash_forest": op10_minhash_forest}
+    return {
+        "op3_warc": op3_warc,
+        "op5_language_ppm": op5_language_ppm,
+        "op8_html_template": op8_html_template,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_minhash_forest": op10_minhash_forest,
+    }
 
 
 def oracle_sql():
