@@ -14,9 +14,14 @@ Links are found in two passes:
    candidate for a class and order, however many members a region has, and it
    joins most groups at once.
 2. Pairs in one component need no more evidence. What is left in each base
-   region are pairs of different components; these are compared too, all of
-   them, smaller components against the rest. So no link is lost to the
-   leaders' choice, and a large group of near copies costs no square of its size.
+   region are pairs of different components. A region of at most ``crowd`` members
+   compares all of those. Members of crowded regions (say, texts around one
+   widespread passage) are compared where they share a rare shingle: of a set of n
+   shingles at threshold t, the n - ceil(t * n) + 1 first ones in any order common
+   to all sets contain one of every set linked with it, so this way is exact. The
+   order is by how often a shingle's slot in a table of fixed size is hit, so
+   widespread shingles come last. No link is lost to the leaders' choice, and a
+   large group costs no square of its size.
 
 Candidates of the second pass are first weighed by the share of equal labels
 (4.5 standard errors of slack); every link is then confirmed on full shingle
@@ -147,8 +152,70 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return pairs.join(a, "a").join(b, "b").mapInPandas(check, "a long, b long")
 
 
+SLOTS = 1 << 18
+
+
+def _rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, rep, n): of every set the shingles at which it must meet each set linked with it, rarest first."""
+
+    def tally(frames):
+        total = np.zeros(SLOTS, np.int64)
+        for pdf in frames:
+            for part in rows_in_blocks(iter([pdf]), "text", 2 << 20):
+                sets, _ = shingle_sets(encoded(part["text"]), width)
+                total += np.bincount((sets & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+    counts = texts.select("text").mapInPandas(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    hits = np.zeros(SLOTS, np.uint32)
+    hits[counts["slot"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), (1 << 32) - 1)
+    shared = texts.sparkSession.sparkContext.broadcast(hits)  # SLOTS numbers, whatever the input
+
+    def emit(frames):
+        often = shared.value
+        for pdf in frames:
+            for part in rows_in_blocks(iter([pdf]), "text", 2 << 20):
+                sets, first = shingle_sets(encoded(part["text"]), width)
+                keys, n = [], np.diff(first)
+                for i, size in enumerate(n.tolist()):
+                    own = sets[first[i] : first[i + 1]]
+                    order = np.lexsort((own, often[(own & U64(SLOTS - 1)).astype(np.int64)]))
+                    keys.append(own[order[: size + (-percent * size // 100) + 1]] if size else own)
+                count = [len(k) for k in keys]
+                yield pd.DataFrame(
+                    {
+                        "key": np.concatenate(keys).view(np.int64),
+                        "rep": np.repeat(part["rep"].to_numpy(), count),
+                        "n": np.repeat(n, count),
+                    }
+                )
+
+    return texts.mapInPandas(emit, "key long, rep long, n long").distinct()
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of rows (key, rep, n, c) with one key, different components and sizes that allow a link."""
+    main = (
+        rows.groupBy("key", "c")
+        .agg(F.count("*").alias("m"))
+        .groupBy("key")
+        .agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("t"))
+        .where("parts > 1")
+        .select("key", F.col("t.c").alias("main"))
+    )
+    rows = rows.join(main, "key")
+    minor = rows.where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    return (
+        rows.join(minor, "key")
+        .where(f"c <> cx and (c = main or x < rep) and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
+        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, crowd: int = 64
+    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, crowd: int = 32
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (columns doc_id, text; others are ignored).
 
@@ -179,8 +246,8 @@ def near_duplicates(
         .withColumnRenamed("doc_id", "rep")
         .select("rep", "n", "near", "deep", "sketch")
     )
-    rows = reps.select("rep", F.posexplode(F.arrays_zip("near", "deep")).alias("tree", "k")).select(
-        "rep", F.col("k.near").alias("near"), F.col("k.deep").alias("deep")
+    rows = reps.select("rep", "n", F.posexplode(F.arrays_zip("near", "deep")).alias("tree", "k")).select(
+        "rep", "n", F.col("k.near").alias("near"), F.col("k.deep").alias("deep")
     )
     sizes = rows.groupBy("near").agg(F.count("*").alias("size")).where("size > 1")
     rows = staged(
@@ -201,34 +268,24 @@ def near_duplicates(
         .distinct()
     )
     texts = docs.withColumnRenamed("doc_id", "rep")
+    first = staged(first, "leaders")
     involved = staged(rows.select("rep").distinct(), "involved")
     # a doc_id with several different texts keeps them all: a link of any of them is a link of the doc_id
     texts = texts.where("text is not null").join(involved, "rep", "left_semi").dropDuplicates(["rep", "text"])
     texts = staged(texts, "texts")
     links = staged(_confirmed(first, texts, width, percent), "links")
-    # pass 2: pairs of different components in one base region
-    comp = components(links)
-    placed = staged(
-        rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("near", "rep", F.coalesce("component", "rep").alias("c")),
-        "placed",
-    )
-    parts = placed.groupBy("near", "c").agg(F.count("*").alias("m"))
-    main = (
-        parts.groupBy("near")
-        .agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("t"))
-        .where("parts > 1")
-        .select("near", F.col("t.c").alias("main"))
-    )
-    open_rows = placed.join(main, "near")
-    minor = open_rows.where("c <> main").select("near", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    second = (
-        open_rows.join(minor, "near")
-        .where("c <> cx and (c = main or x < rep)")
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+    # pass 2: pairs of different components, in small base regions and, of crowded ones, on rare shingles
+    comp = components(links).withColumnRenamed("node", "rep")
+    crowded = rows.where(F.col("size") > crowd).select("rep").distinct()
+    rare = _rare_shingles(texts.join(crowded, "rep", "left_semi"), width, percent)
+    keyed = (
+        rows.where(F.col("size") <= crowd)
+        .select(F.col("near").alias("key"), "rep", "n")
+        .unionByName(rare)
+        .join(comp, "rep", "left")
+        .select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     )
+    second = _across(staged(keyed, "keyed"), percent).join(first, ["a", "b"], "left_anti")
     slack = 4.5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
     second = _similar(second, reps.dropDuplicates(["rep"]), threshold - slack)
     more = _confirmed(second, texts, width, percent)
