@@ -237,7 +237,10 @@ class Tokenizer:
         self.automaton = Automaton(model["vocab"], merges, self.suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.special.items()}
-        self.memo = Memo(lambda words: self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in words]))
+        self.memo = Memo(
+            lambda words: self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in words]),
+            kind=np.uint16 if len(self.labels) <= 1 << 16 else np.uint32,
+        )
 
     def normalized(self, text: str) -> str:
         if not self.suffix:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe_automaton import op7_bpe_automaton
 from .decontaminate import op9_decontaminate
 from .html_template import op8_html_template
 from .language_ppm import op5_language_ppm
 from .minhash_forest import op10_minhash_forest
+from .token_files import op4_bit_planes
 from .warc import op3_warc
 
 
 def queries():
     return {
         "op3_warc": op3_warc,
+        "op4_bit_planes": op4_bit_planes,
         "op5_language_ppm": op5_language_ppm,
+        "op7_bpe_automaton": op7_bpe_automaton,
         "op8_html_template": op8_html_template,
         "op9_decontaminate": op9_decontaminate,
         "op10_minhash_forest": op10_minhash_forest,

@@ -116,13 +116,13 @@ class Memo:
     than ``limit`` words are held, the memo starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 3_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 3_000_000, kind=np.uint16):
+        self.encode, self.limit, self.kind = encode, limit, kind
         self._clear()
 
     def _clear(self):
         self.keys, self.slot = np.empty(0, U64), np.empty(0, np.int64)
-        self.flat, self.begin, self.size = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat, self.begin, self.size = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def find(self, batch: Batch, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Entry of every word."""
@@ -152,7 +152,7 @@ class Memo:
             entry[miss] = fresh
             self.begin = np.concatenate([self.begin, len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])])
             self.size = np.concatenate([self.size, sizes.astype(np.int32)])
-            self.flat = np.concatenate([self.flat, numbers.astype(np.uint16)])
+            self.flat = np.concatenate([self.flat, numbers.astype(self.kind)])
             self.keys = np.insert(self.keys, place[miss], unique[miss])
             self.slot = np.insert(self.slot, place[miss], fresh)
         out = np.empty(len(h), np.int64)
