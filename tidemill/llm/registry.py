@@ -7,12 +7,14 @@ from .decontaminate import op9_decontaminate
 from .html_template import op8_html_template
 from .language_ppm import op5_language_ppm
 from .minhash_forest import op10_minhash_forest
+from .suffix_dedup import op1_suffix_dedup
 from .token_files import op4_bit_planes
 from .warc import op3_warc
 
 
 def queries():
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_warc": op3_warc,
         "op4_bit_planes": op4_bit_planes,
         "op5_language_ppm": op5_language_ppm,
