@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_automaton import op7_bpe_automaton
+from .cross_polytope import op2_cross_polytope
 from .decontaminate import op9_decontaminate
 from .html_template import op8_html_template
 from .language_ppm import op5_language_ppm
@@ -15,6 +16,7 @@ from .warc import op3_warc
 def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_cross_polytope": op2_cross_polytope,
         "op3_warc": op3_warc,
         "op4_bit_planes": op4_bit_planes,
         "op5_language_ppm": op5_language_ppm,
