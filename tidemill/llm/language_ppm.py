@@ -135,6 +135,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose text has a letter and whose language has a posterior of at least ``least``; all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def keep(text: pd.Series) -> pd.Series:
+        out = []
+        for part in rows_in_blocks(iter([pd.DataFrame({"text": text})]), "text", 1 << 20):
+            bits = shared.value.code_lengths(encoded(part["text"]))
+            score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
+            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in part["text"]], bool)
+            out.append(letters & (score >= least))
+        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+
+    return docs.where(keep("text"))
+
+
 def op5_language_ppm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(fold_of("doc_id") != 0))

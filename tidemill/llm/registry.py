@@ -10,6 +10,7 @@ from .language_ppm import op5_language_ppm
 from .minhash_forest import op10_minhash_forest
 from .suffix_dedup import op1_suffix_dedup
 from .token_files import op4_bit_planes
+from .toxicity import op6_toxicity
 from .warc import op3_warc
 
 
@@ -20,6 +21,7 @@ def queries():
         "op3_warc": op3_warc,
         "op4_bit_planes": op4_bit_planes,
         "op5_language_ppm": op5_language_ppm,
+        "op6_toxicity": op6_toxicity,
         "op7_bpe_automaton": op7_bpe_automaton,
         "op8_html_template": op8_html_template,
         "op9_decontaminate": op9_decontaminate,

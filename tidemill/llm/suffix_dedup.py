@@ -288,21 +288,34 @@ def _finish(length: int):
     return run
 
 
-def repeated_substrings(docs: DataFrame, *, length: int = 400, crowd: int = 2048, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, spans]) for every row of ``docs`` (doc_id, text).
+def repaired(column: str):
+    """Binary text without the broken characters that a cut has left."""
+
+    @F.pandas_udf("string")
+    def repair(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
+
+    return repair(column)
+
+
+def repeated_substrings(
+    docs: DataFrame, *, length: int = 400, crowd: int = 2048, with_text: bool = False, carry: list[str] | None = None
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, spans, original, was_null]) for every row of ``docs`` (doc_id, text).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts at
     another place of any text, its own included. Texts are judged as given, not
-    after removals. A null text is empty. Rows are texts of their own, also with
+    after removals. A null text is empty. ``carry`` names columns to pass on. Rows are texts of their own, also with
     equal or null doc_ids. ``spans`` lists begin and end of what was removed. Other
     columns are ignored; an empty table gives an empty result.
     """
     gram = min(GRAM, max(1, length // 2))
     blob = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", blob.alias("text")).withColumn("t", F.unhex(F.md5("text")))
+    carry = carry or []
+    rows = docs.select("doc_id", *carry, F.col("text").isNull().alias("was_null"), blob.alias("text")).withColumn("t", F.unhex(F.md5("text")))
     size = F.octet_length("text").cast("long")
     texts = staged(
-        rows.where(size >= length).groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts"
+        rows.select("t", "text").where(size >= length).groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts"
     )
 
     def find(frames):
@@ -367,7 +380,7 @@ def repeated_substrings(docs: DataFrame, *, length: int = 400, crowd: int = 2048
     if not with_text:
         cutdown = cutdown.drop("kept", "spans")
     whole = texts.where("copies > 1").select("t", F.lit(True).alias("whole"))
-    base = rows if with_text else rows.select("doc_id", "t", size.alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    base = rows.select("doc_id", *carry, "t", size.alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     if with_text:
         base = rows.withColumn("n_bytes", size).withColumn("sha", F.sha2("text", 256))
     cutdown = staged(cutdown, "cutdown")
@@ -375,6 +388,7 @@ def repeated_substrings(docs: DataFrame, *, length: int = 400, crowd: int = 2048
     gone = F.col("whole").isNotNull()
     columns = [
         "doc_id",
+        *carry,
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
@@ -382,6 +396,8 @@ def repeated_substrings(docs: DataFrame, *, length: int = 400, crowd: int = 2048
     ]
     if with_text:
         columns += [
+            F.col("text").alias("original"),
+            "was_null",
             F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", F.col("text").cast("binary"))).alias("kept"),
             F.when(gone, F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(F.coalesce("spans", F.array().cast("array<bigint>"))).alias("spans"),
         ]
