@@ -239,6 +239,7 @@ def _solver(length: int, rows_at_once: int = 6000):
                         out["core"].append(int(core[most[i] - j * STEP]) ^ j)
                         out["known"].append(known)
                         out["windows"].append([x for o in some.tolist() for x in (o, int(whole[most[i] - o]))])
+        out["windows"] = pd.Series(out["windows"], dtype=object)
         return pd.DataFrame(out)
 
     def run(frames):
@@ -253,11 +254,12 @@ def _solver(length: int, rows_at_once: int = 6000):
             last = (df["h"] != df["h"].iloc[-1]) | (df["salt"] != df["salt"].iloc[-1])
             whole = int(np.flatnonzero(last.to_numpy())[-1]) + 1 if last.any() else 0
             if whole:
-                yield solve(_numbered(df.iloc[:whole]))
+                if len(out := solve(_numbered(df.iloc[:whole]))):
+                    yield out
             held, count = [df.iloc[whole:]], len(df) - whole
         df = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
-        if len(df):
-            yield solve(_numbered(df))
+        if len(df) and len(out := solve(_numbered(df))):
+            yield out
 
     return run
 
