@@ -338,7 +338,8 @@ def repeated_substrings(
             yield pd.concat(held, ignore_index=True)
 
     places = staged(texts.select("t", "text").mapInPandas(gathered, "t binary, p long, a long, b long, h long"), "anchors")
-    often = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # written first, so that the join below deals both sides anew and a common gram can be split
+    often = staged(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     salts = F.ceil(F.col("n") / crowd)
     mine = places.join(often, "h").select(
         "t",
@@ -347,14 +348,20 @@ def repeated_substrings(
     listed = mine.groupBy("t").agg(F.collect_list("x").alias("xs"))
 
     def cut(frames):
+        names = ["h", "salt", "salts", "p", "a", "b"]
         for pdf in frames:
-            for t, text, xs in zip(pdf["t"], encoded(pdf["text"]), pdf["xs"], strict=True):
-                out = pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in xs])
-                out["seg"] = [text[a : b + length] for a, b in zip(out["a"].tolist(), out["b"].tolist(), strict=True)]
-                out.insert(0, "t", [t] * len(out))
-                yield out[["h", "salt", "salts", "t", "p", "a", "b", "seg"]]
-
-    segments = texts.select("t", "text").join(listed, "t").mapInPandas(
+            for begin in range(0, len(pdf), 400):
+                part = pdf.iloc[begin : begin + 400]
+                count = part["h"].map(len).to_numpy()
+                out = pd.DataFrame({c: np.concatenate(part[c].to_list()) for c in names})
+                seg = []
+                for text, first, last in zip(encoded(part["text"]), part["a"], part["b"], strict=True):
+                    seg += [text[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                out.insert(3, "t", pd.Series(np.repeat(np.array(part["t"].to_list(), object), count), dtype=object))
+                out["seg"] = seg
+                yield out
+
+    segments = texts.select("t", "text").join(listed, "t").select("t", "text", "xs.h", "xs.salt", "xs.salts", "xs.p", "xs.a", "xs.b").mapInPandas(
         cut, "h long, salt int, salts int, t binary, p long, a long, b long, seg binary"
     )
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
