@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, encoded, folded, rows_in_blocks, separators, span_hashes
+from .common import U64, Words, encoded, folded, rows_in_blocks, separators, span_hashes, staged
 from .decontaminate import WORD_BREAKS, WORD_TABLE
 from .language_ppm import fold_of
 
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12000, words: int
     that class' share (0 without rows).
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    ids = docs.select("doc_id").join(marks, "doc_id")
+    ids = docs.select("doc_id").distinct().join(marks, "doc_id")
     sizes = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sum(n for t, n in sizes.items() if t != 1)
     if not pos or not neg:
@@ -234,8 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12000, words: int
     rates = [min(1.0, max_rows / 2 / n) for n in (neg, pos)]
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     is_toxic = F.col("toxic") == 1
-    chosen_ids = marks.where(draw < F.when(is_toxic, rates[1]).otherwise(rates[0]))
-    sample = docs.select("doc_id", "text").join(chosen_ids, "doc_id").select("doc_id", "text", is_toxic.cast("int").alias("toxic"))
+    # some max_rows ids, whatever the input, so they go to the texts and not the texts to them
+    chosen_ids = staged(ids.where(draw < F.when(is_toxic, rates[1]).otherwise(rates[0])), "chosen")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("doc_id", "text", is_toxic.cast("int").alias("toxic"))
+    sample = staged(sample, "sample")
     # a word's log odds: how often it occurs in toxic and in other texts (at most thrice in one)
 
     def tally(frames):
