@@ -1,13 +1,17 @@
 """Queries over the engine's own operators."""
 
+from __future__ import annotations
+
+from .queries import QUERIES, SQL
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return QUERIES["complete_delta_events"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
