@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, powers, rows_in_blocks
+from .common import U64, bounded_batches, mix64, powers, rows_in_blocks
 from .tokens import Batch, Memo, ragged
 
 NONE = np.int32(-1)
@@ -362,6 +362,7 @@ def tokenize(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame
                     out["decoded"] = [bytes(x).decode("utf-8") for x in words]
                 yield pd.DataFrame(out)
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInPandas(run, schema + ", ids array<int>, decoded string" * with_ids)

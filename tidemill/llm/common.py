@@ -7,6 +7,7 @@ and not a Python loop over its words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,7 +51,21 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rows_in_blocks(frames: Iterator[pd.DataFrame], column: str, limit: int = 8 << 20) -> Iterator[pd.DataFrame]:
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit what a Python worker gets at once, by rows and by bytes, for texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def trim() -> None:
+    """Give memory that is free within the allocator back to the system; workers live on between tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def rows_in_blocks(frames: Iterator[pd.DataFrame], column: str, limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Re-cut Arrow batches so that a block holds about ``limit`` characters of ``column``."""
     for pdf in frames:
         if not len(pdf):
@@ -60,6 +75,7 @@ def rows_in_blocks(frames: Iterator[pd.DataFrame], column: str, limit: int = 8 <
         for part in np.split(np.arange(len(pdf)), cuts):
             if len(part):
                 yield pdf.iloc[part[0] : part[-1] + 1]
+        trim()
 
 
 # ---------------------------------------------------------------- hashing

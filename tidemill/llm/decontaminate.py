@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, byte_table, mix64, rows_in_blocks, separators, staged
+from .common import U64, Words, bounded_batches, byte_table, mix64, rows_in_blocks, separators, staged
 
 WORD_BREAKS = separators((0, 47), (58, 64), (91, 96), (123, 127))
 WORD_TABLE = byte_table(3)
@@ -103,7 +103,7 @@ def tiles(pairs: np.ndarray, width: int) -> list[tuple[int, int, int]]:
 def _search(block: Block, least: float):
     def run(frames):
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "text", 2 << 20):
+            for part in rows_in_blocks(iter([pdf]), "text"):
                 w = _words(part["text"])
                 found: list[tuple[int, int, float]] = []
                 for width, seeds, items, places, bitmap in block.index:
@@ -154,6 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_tile: int = 5, coverage:
     words (null, empty) match nothing. Repeated rows of a document give repeated
     pairs, repeated items their own pairs. Empty tables give an empty result.
     """
+    bounded_batches(docs.sparkSession)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))

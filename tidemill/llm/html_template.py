@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, staged
 
 # Elements of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,6 +257,7 @@ def extract_main_text(pages: DataFrame, support: float = 0.6) -> DataFrame:
     text in its main slot, gives an empty text. A null url has the empty host.
     Repeated rows give repeated results; an empty table an empty result.
     """
+    bounded_batches(pages.sparkSession)
     base = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     distinct = base.select("host", "html", F.xxhash64("html").alias("h"), F.md5("html").alias("m")).where("length(html) > 0")
     counted = distinct.dropDuplicates(["host", "h", "m"]).select("host", "html").mapInPandas(

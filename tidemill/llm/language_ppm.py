@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, rows_in_blocks
+from .common import bounded_batches, encoded, rows_in_blocks
 
 UNDETERMINED = "und"
 
@@ -92,6 +92,7 @@ def fit(docs: DataFrame, *, max_docs: int = 4000, alphabet: int = 112) -> Model:
     their id (the bound of the sample); all others only add to the row counts.
     Raises ValueError if no row has both text and lang.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, SPACE_WORDS, U64, Words, encoded, mix64, rows_in_blocks, staged
+from .common import SPACE_TABLE, SPACE_WORDS, U64, Words, bounded_batches, encoded, mix64, rows_in_blocks, staged
 from .components import components
 
 TREES, DEPTH = 20, 6
@@ -73,7 +73,7 @@ def _labels(sets: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
 def _signer(width: int, base: int, trees: int, depth: int):
     def sign(frames):
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "text", 2 << 20):
+            for part in rows_in_blocks(iter([pdf]), "text"):
                 texts = encoded(part["text"])
                 sets, first = shingle_sets(texts, width)
                 n = np.diff(first)
@@ -131,7 +131,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     def check(frames):
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "tb", 4 << 20):
+            for part in rows_in_blocks(iter([pdf]), "tb"):
                 ids, where = np.unique(part["a"].to_numpy(), return_index=True)
                 left, lf = shingle_sets(encoded(part["ta"].iloc[where]), width)
                 right, rf = shingle_sets(encoded(part["tb"]), width)
@@ -161,7 +161,7 @@ def _rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
     def tally(frames):
         total = np.zeros(SLOTS, np.int64)
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "text", 2 << 20):
+            for part in rows_in_blocks(iter([pdf]), "text"):
                 sets, _ = shingle_sets(encoded(part["text"]), width)
                 total += np.bincount((sets & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         slot = np.flatnonzero(total)
@@ -175,7 +175,7 @@ def _rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
     def emit(frames):
         often = shared.value
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "text", 2 << 20):
+            for part in rows_in_blocks(iter([pdf]), "text"):
                 sets, first = shingle_sets(encoded(part["text"]), width)
                 keys, n = [], np.diff(first)
                 for i, size in enumerate(n.tolist()):
@@ -225,6 +225,7 @@ def near_duplicates(
     the component of any of their texts. A null doc_id takes part in nothing: its
     component is null. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     threshold = percent / 100
     base = base_depth(threshold, trees, depth)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

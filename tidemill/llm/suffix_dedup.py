@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, encoded, mix64, powers, staged
+from .common import U64, bounded_batches, byte_table, encoded, mix64, powers, staged
 
 GRAM, SHALLOW, PIECE, STEP = 64, 32, 1 << 19, 16
 TABLE = byte_table(11)
@@ -311,6 +311,7 @@ def repeated_substrings(
     equal or null doc_ids. ``spans`` lists begin and end of what was removed. Other
     columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     gram = min(GRAM, max(1, length // 2))
     blob = F.coalesce(F.col("text"), F.lit(""))
     carry = carry or []

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import rows_in_blocks, shared_dir
+from .common import bounded_batches, rows_in_blocks, shared_dir
 from .tokens import Batch, Memo, ragged
 
 MAGIC = b"TIDETOK1"
@@ -195,6 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     archive.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     runs = max(1, -(-int(size) // file_bytes))
@@ -265,6 +266,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
                     out["ids"] = np.split(ids.astype(np.int64), at[1:-1])
                 yield pd.DataFrame(out)
 
+    bounded_batches(spark)
     manifest = spark.read.parquet(f"{path}/manifest")
     # one row per file: its place among the files
     starts = manifest.select("file", (F.sum("n").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1))).alias("before"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, encoded, folded, rows_in_blocks, separators, span_hashes, staged
+from .common import U64, Words, bounded_batches, encoded, folded, rows_in_blocks, separators, span_hashes, staged
 from .decontaminate import WORD_BREAKS, WORD_TABLE
 from .language_ppm import fold_of
 
@@ -224,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12000, words: int
     one is. Without labelled rows, or with rows of one class only, every score is
     that class' share (0 without rows).
     """
+    bounded_batches(docs.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = docs.select("doc_id").distinct().join(marks, "doc_id")
     sizes = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
