@@ -14,13 +14,15 @@ Links are found in two passes:
    candidate for a class and order, however many members a region has, and it
    joins most groups at once.
 2. Pairs in one component need no more evidence. What is left in each base
-   region are pairs of different components. A region of at most ``crowd`` members
-   compares all of those. Members of crowded regions (say, texts around one
+   region are pairs of different components. A region of at most ``crowd`` / 4 members
+   compares all of those. Members of larger regions (say, texts around one
    widespread passage) are compared where they share a rare shingle: of a set of n
    shingles at threshold t, the n - ceil(t * n) + 1 first ones in any order common
    to all sets contain one of every set linked with it, so this way is exact. The
    order is by how often a shingle's slot in a table of fixed size is hit, so
-   widespread shingles come last. No link is lost to the leaders' choice, and a
+   widespread shingles come last; where the first shingle that two sets share
+   stands too far back in both, too few can follow, and the pair is no candidate.
+   No link is lost to the leaders' choice, and a
    large group costs no square of its size.
 
 Candidates of the second pass are first weighed by the share of equal labels
@@ -156,7 +158,7 @@ SLOTS = 1 << 18
 
 
 def _rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, rep, n): of every set the shingles at which it must meet each set linked with it, rarest first."""
+    """(key, rep, n, place): of every set the shingles at which it must meet each set linked with it, rarest first."""
 
     def tally(frames):
         total = np.zeros(SLOTS, np.int64)
@@ -188,14 +190,19 @@ def _rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
                         "key": np.concatenate(keys).view(np.int64),
                         "rep": np.repeat(part["rep"].to_numpy(), count),
                         "n": np.repeat(n, count),
+                        "place": np.concatenate([np.arange(c) for c in count]),
                     }
                 )
 
-    return texts.mapInPandas(emit, "key long, rep long, n long").distinct()
+    return texts.mapInPandas(emit, "key long, rep long, n long, place long").distinct()
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of rows (key, rep, n, c) with one key, different components and sizes that allow a link."""
+    """Pairs (a < b) of rows (key, rep, n, place, c) with one key, different components, and sizes and places that allow a link.
+
+    If the key is the first shingle that two sets share, they share at most it and
+    what follows it in the smaller rest; ``place`` is 0 where the key is a region.
+    """
     main = (
         rows.groupBy("key", "c")
         .agg(F.count("*").alias("m"))
@@ -205,10 +212,13 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         .select("key", F.col("t.c").alias("main"))
     )
     rows = rows.join(main, "key")
-    minor = rows.where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    minor = rows.where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
     return (
         rows.join(minor, "key")
-        .where(f"c <> cx and (c = main or x < rep) and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
+        .where(
+            f"c <> cx and (c = main or x < rep) and 100 * least(n, nx) >= {percent} * greatest(n, nx) "
+            f"and {100 + percent} * least(n - place, nx - px) >= {percent} * (n + nx)"
+        )
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
         .distinct()
     )
@@ -277,14 +287,15 @@ def near_duplicates(
     links = staged(_confirmed(first, texts, width, percent), "links")
     # pass 2: pairs of different components, in small base regions and, of crowded ones, on rare shingles
     comp = components(links).withColumnRenamed("node", "rep")
-    crowded = rows.where(F.col("size") > crowd).select("rep").distinct()
+    few = crowd // 4
+    crowded = rows.where(F.col("size") > few).select("rep").distinct()
     rare = _rare_shingles(texts.join(crowded, "rep", "left_semi"), width, percent)
     keyed = (
-        rows.where(F.col("size") <= crowd)
-        .select(F.col("near").alias("key"), "rep", "n")
+        rows.where(F.col("size") <= few)
+        .select(F.col("near").alias("key"), "rep", "n", F.lit(0).cast("long").alias("place"))
         .unionByName(rare)
         .join(comp, "rep", "left")
-        .select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        .select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("c"))
     )
     second = _across(staged(keyed, "keyed"), percent).join(first, ["a", "b"], "left_anti")
     slack = 4.5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
