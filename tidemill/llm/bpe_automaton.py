@@ -103,6 +103,12 @@ class Automaton:
                 self.born[t], self.left[t], self.right[t] = i, a, b
         pairs, first = np.unique(np.array(gone, U64), return_index=True)
         self.removed = Table(pairs, np.array(when, np.int32)[first])
+        # a gadget that finds no v behind u adds nothing, nor do gadgets that build on its token
+        made = np.flatnonzero(self.born >= 0)
+        real = np.ones(size, bool)
+        real[made] = self.has(self.left[made], self.right[made], self.born[made])
+        for t in made[np.argsort(self.born[made])].tolist():
+            real[t] &= real[self.left[t]] & real[self.right[t]]
         base = byte_alphabet()
         self.base = np.full((2, 256), NONE)
         for b, ch in enumerate(base):
@@ -115,7 +121,7 @@ class Automaton:
         for s, i in vocab.items():
             last = bool(suffix) and s.endswith(suffix)
             body = s[: -len(suffix)] if last else s
-            if body and all(c in value for c in body) and (self.born[i] >= 0 or len(body) == 1):
+            if real[i] and body and all(c in value for c in body) and (self.born[i] >= 0 or len(body) == 1):
                 ids.append(i)
                 bodies.append(bytes([value[c] for c in body]))
                 ends.append(last)
@@ -139,11 +145,11 @@ class Automaton:
     def _finish(h: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix64(h + last.astype(U64)) | U64(1)
 
-    def has(self, t: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Whether the state behind token t has a transition for token x (arrays)."""
+    def has(self, t: np.ndarray, x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether the state behind token t has a transition for token x (arrays), after all gadgets or before one."""
         t, x = t.copy(), x.copy()
         out = np.ones(len(t), bool)
-        limit = np.full(len(t), 1 << 30, np.int32)
+        limit = np.full(len(t), 1 << 30, np.int32) if before is None else before.astype(np.int32)
         live = np.arange(len(t))
         while len(live):
             a, b = t[live], x[live]
