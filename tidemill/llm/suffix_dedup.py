@@ -196,6 +196,8 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _solver(length: int, rows_at_once: int = 6000):
     """Groups of anchors in, out: repeated runs of windows, and of dealt groups what other tasks must know."""
 
+    step = min(STEP, max(1, length // 4))
+
     def solve(df: pd.DataFrame):
         least = (df["p"] - df["b"]).to_numpy(np.int64)
         most = (df["p"] - df["a"]).to_numpy(np.int64)
@@ -226,9 +228,9 @@ def _solver(length: int, rows_at_once: int = 6000):
         for i in np.flatnonzero(tell.any(1)).tolist():
             buf = np.frombuffer(seg[i], np.uint8)
             whole = _hashes(buf, length, 5).view(np.int64)
-            core = _hashes(buf, length - STEP + 1, 9).view(np.int64)
-            for j in np.unique(np.flatnonzero(tell[i]) // STEP).tolist():
-                os = np.arange(j * STEP, min((j + 1) * STEP, wide))
+            core = _hashes(buf, length - step + 1, 9).view(np.int64)
+            for j in np.unique(np.flatnonzero(tell[i]) // step).tolist():
+                os = np.arange(j * step, min((j + 1) * step, wide))
                 os = os[tell[i, os]]
                 for known in (False, True):
                     some = os[found[i, os] == known]
@@ -236,7 +238,7 @@ def _solver(length: int, rows_at_once: int = 6000):
                         out["t"].append(t[i])
                         out["first"].append(int(p[i]))
                         out["last"].append(int(some[0]))
-                        out["core"].append(int(core[most[i] - j * STEP]) ^ j)
+                        out["core"].append(int(core[most[i] - j * step]) ^ j)
                         out["known"].append(known)
                         out["windows"].append([x for o in some.tolist() for x in (o, int(whole[most[i] - o]))])
         out["windows"] = pd.Series(out["windows"], dtype=object)
