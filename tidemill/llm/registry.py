@@ -11,7 +11,7 @@ from .minhash_forest import op10_minhash_forest
 from .suffix_dedup import op1_suffix_dedup
 from .token_files import op4_bit_planes
 from .toxicity import op6_toxicity
-from .warc import op3_warc
+from .warc import OP3_SQL, op3_warc
 
 
 def queries():
@@ -30,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op3_warc": OP3_SQL}

@@ -135,4 +135,14 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     return read_index(spark, path)
 
 
-OP3_SQL = None
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((x{g} >> {35 - 5 * i}) & 31 as integer), 1)" for g in range(4) for i in range(8)
+)
+_GROUPS = ", ".join(f"cast('0x' || substr(h, {10 * g + 1}, 10) as bigint) as x{g}" for g in range(4))
+OP3_SQL = f"""
+    with payloads as (select page_id, url, coalesce(html, '') as p, sha1(coalesce(html, '')) as h from pages),
+    groups as (select *, {_GROUPS}, min(page_id) over (partition by p) as first_id from payloads)
+    select page_id, cast(strlen(p) as bigint) as payload_bytes, {_DIGITS} as payload_digest,
+           case when page_id = first_id then 'response' else 'revisit' end as record_type,
+           case when page_id <> first_id then first_id end as refers_to, url
+    from groups"""
