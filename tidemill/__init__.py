@@ -1,0 +1 @@
+"""Configuration-driven ingestion and promotion on Spark."""

@@ -14,9 +14,10 @@ from ..operators import batch as B
 from ..operators import merges as M
 from ..operators import shape as S
 from ..operators.errors import PlatformViolation, PolicyViolation
-from ..sources.files import READERS, KnownColumns, drain, inbound_glob
+from ..sources.files import READERS, KnownColumns, inbound_glob
 from ..sources.store import Files, Store, Table
 from ..sources.tables import TableReader
+from ..streaming.discovery import drain
 from . import config as C
 from .audit import Audit
 from .layout import apply_layout, apply_metadata

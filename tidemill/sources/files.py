@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,35 +11,12 @@ from ..operators.errors import PlatformViolation
 from ..operators.shape import add_provenance
 from .store import Files, wider
 
-DISCOVERY = "path string, modificationTime timestamp, length long, content binary"
-
-
 def inbound_glob(path: str, directory: str, extension: str) -> str:
     """All files of the extension in any case; a leading dot does not count."""
     letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension.lstrip("."))
     return f"{path.rstrip('/')}/{directory.strip('/')}/*.{letters}"
 
 
-def drain(spark: SparkSession, glob: str, checkpoint: str, handle: Callable[[list[str], int], None]) -> None:
-    """Call ``handle(paths, batch_id)`` for files not yet handled, once, and remember them.
-
-    The stream carries paths only. A failed batch is offered again by the next
-    run; with nothing new, nothing happens.
-    """
-    base = glob.rsplit("/", 1)[0]
-    if not Files(spark, base).exists(base):
-        return
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        paths = [r[0] for r in batch.select("path").collect()]
-        if paths:
-            handle(sorted(paths), batch_id)
-
-    found = spark.readStream.schema(DISCOVERY).format("binaryFile").load(glob).select("path")
-    query = found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
 class KnownColumns:
     """The columns a source has had so far, kept in the task's schema location, and what a new one means."""
 
