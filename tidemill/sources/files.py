@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from ..operators.errors import PlatformViolation
 from ..operators.shape import add_provenance
 from .store import Files, wider
 
+
 def inbound_glob(path: str, directory: str, extension: str) -> str:
     """All files of the extension in any case; a leading dot does not count."""
     letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension.lstrip("."))
