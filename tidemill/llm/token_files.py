@@ -129,19 +129,29 @@ class LibraryEncoder:
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         apart = [k for k, w in enumerate(words) if w.isspace() or "\n" in w]
-        rest = [k for k, w in enumerate(words) if not (w.isspace() or "\n" in w)]
-        got: dict[int, list[int]] = dict(zip(apart, self._whole([words[k] for k in apart]), strict=True)) if apart else {}
+        odd = set(apart)
+        rest = [k for k in range(len(words)) if k not in odd] if odd else list(range(len(words)))
+        flat, sizes = [], np.zeros(len(words), np.int64)
         for i in range(0, len(rest), 1000):
             some = rest[i : i + 1000]
             ids = np.array(self.lib.encode_batch_fast(["\n".join([words[k] for k in some])], add_special_tokens=False)[0].ids)
-            parts = np.split(ids, np.flatnonzero(ids == self.brk))
-            if len(parts) != len(some):
-                got |= dict(zip(some, self._whole([words[k] for k in some]), strict=True))
+            gap = ids == self.brk
+            if gap.sum() != len(some) - 1:
+                got = self._whole([words[k] for k in some])
+                flat += [np.array(g) for g in got]
+                sizes[some] = [len(g) for g in got]
                 continue
-            for k, p in zip(some, parts, strict=True):
-                got[k] = p[1:] if k != some[0] else p
-        sizes = np.fromiter((len(got[k]) for k in range(len(words))), np.int64, len(words))
-        return np.concatenate([np.asarray(got[k]) for k in range(len(words))]), sizes
+            flat.append(ids[~gap])
+            sizes[some] = np.bincount(np.cumsum(gap)[~gap], minlength=len(some))
+        if not apart:
+            return np.concatenate(flat), sizes
+        got = self._whole([words[k] for k in apart])
+        sizes[apart] = [len(g) for g in got]
+        flat += [np.array(g) for g in got]
+        order = rest + apart
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return ragged(np.concatenate(flat), begin, sizes), sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
