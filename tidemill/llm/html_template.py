@@ -268,6 +268,10 @@ def extract_main_text(pages: DataFrame, support: float = 0.6) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("pages", "words", "linked")],
         F.max("boiler").alias("boiler"),
     )
+    # only what is on enough pages can be template: at most a page's tokens / support for a host, however many pages it has
+    tokens = staged(tokens, "tokens")
+    totals = tokens.where("path = ''").select("host", F.col("pages").alias("total"))
+    tokens = tokens.join(totals, "host").where((F.col("pages") >= support * F.col("total")) | (F.col("path") == "")).drop("total")
     hosts = tokens.groupBy("host").agg(
         F.collect_list(F.struct("path", "vector", "pages", "words", "linked", "boiler")).alias("tokens")
     )
