@@ -48,6 +48,18 @@ def test_articles(spark):
     assert H.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_second_layout_of_a_host(spark):
+    """A page without the slot of its host, and without an article, gives its body."""
+    rows = [(n, "http://two.example", page(f"<article><p>story number {n}</article>", n)) for n in range(7)]
+    rows += [(n, "http://two.example", page(f"<div class=text><p>other story {n}</div>", n)) for n in range(7, 10)]
+    rows += [(10 + n, "http://div.example", page(f"<div class=text><p>story number {n} of some words</div>", n)) for n in range(7)]
+    rows += [(17 + n, "http://div.example", page(f"<div class=else><p>other story {n}</div>", n)) for n in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()}
+    assert [got[n] for n in range(10)] == [f"story number {n}" for n in range(7)] + [f"other story {n}" for n in range(7, 10)]
+    assert [got[n] for n in range(10, 20)] == [f"story number {n} of some words" for n in range(7)] + [f"other story {n}" for n in range(3)]
+
+
 def test_known_articles_of_the_corpus(spark):
     """The corpus' pages have one article; its text by a plain reading of the markup must come out."""
     import html

@@ -243,7 +243,7 @@ def main_text(page: str, slots: list[str]) -> str:
                 parts["slot"].append(e[2])
             elif "/article/" in path or "/main/" in path or "/article." in path or "/main." in path:
                 parts["article"].append(e[2])
-            elif not slots:
+            else:
                 parts["body"].append(e[2])
     flush()
     return "\n".join(next((v for v in found.values() if v), []))
