@@ -60,6 +60,21 @@ def test_second_layout_of_a_host(spark):
     assert [got[n] for n in range(10, 20)] == [f"story number {n} of some words" for n in range(7)] + [f"other story {n}" for n in range(3)]
 
 
+def test_slot_with_all_parts(spark):
+    """On a host without articles the slot holds all parts of a text, also those in tags that vary by page."""
+    part = lambda n, k: " ".join(f"w{n}x{k}x{i}" for i in range(40))
+    rows = [(n, "http://parts.example", page(f"<div class=content><div class=part1><p>{part(n, 1)} more</div><div class=part2><p>{part(n, 2)}</div></div>", n)) for n in range(5)]
+    vary = ["<ul><li>{}</ul>", "<blockquote>{}</blockquote>", "<div class=only{}>{}</div>", "<pre>{}</pre>", "<section class=q><p>{}</section>"]
+    for n in range(5):
+        own = vary[n].format(*(["abcde"[n]] * (vary[n].count("{}") - 1)), part(n, 1))
+        rows.append((5 + n, "http://vary.example", page(f"<div class=story>{own}</div><div class=extra><p>see it {n}</div>", n)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()}
+    for n in range(5):
+        assert got[n] == f"{part(n, 1)} more\n{part(n, 2)}"
+        assert got[5 + n] == part(n, 1)
+
+
 def test_known_articles_of_the_corpus(spark):
     """The corpus' pages have one article; its text by a plain reading of the markup must come out."""
     import html

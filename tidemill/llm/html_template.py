@@ -10,8 +10,9 @@ pages; text is what fills the slots between them.
 
 Slots are then told apart once per host: a slot below a navigation, header,
 footer, advert, form, notice or comment element is boilerplate; the main slot is
-the one below ``article`` or ``main``, and on hosts without either the slot that
-holds most of the words outside links. A page's text is what its main slot holds.
+the one below ``article`` or ``main``, and on hosts without either the deepest
+section that holds nearly all words outside links of the pages that have it. A
+page's text is what its main slot holds, and the body's where it has none.
 
 An occurrence vector is kept as the exclusive-or of a hash of (page, count) over
 the pages, so vectors are merged map-side and a host with a third of all pages
@@ -40,6 +41,8 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 BOILER = set("nav header footer aside form menu dialog head".split())
+#: Elements that can be a host's main slot; the other blocks are parts of a text.
+SECTIONS = set("article body center div html main section td".split())
 #: An opening tag of the key's kind closes an open element of these kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSE_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -139,48 +142,56 @@ def _structural(path: str) -> bool:
 
 
 def _counts(frames):
-    """Occurrence vectors of a batch, merged per host: (host, path, vector, pages, words, linked, boiler)."""
+    """Occurrence vectors of a batch, merged per host: (host, path, vector, pages, uses, words, reach, boiler).
+
+    ``words`` are those below the token, at any depth, and ``reach`` all those of
+    the pages that have it; both outside links and boilerplate.
+    """
     for pdf in frames:
-        vector, pages = defaultdict(int), Counter()
-        words, linked, boiler = Counter(), Counter(), set()
+        vector, pages, uses = defaultdict(int), Counter(), Counter()
+        words, reach, boiler = Counter(), Counter(), set()
         for host, page in zip(pdf["host"], pdf["html"], strict=True):
             if not page:
                 continue
             h = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
             seen: Counter[str] = Counter()
+            direct: Counter[str] = Counter()
             for e in walk(page):
                 if e[0] == "tag" and _structural(e[1]):
                     seen[e[1]] += 1
                     if e[2]:
                         boiler.add((host, e[1]))
-                elif e[0] == "text":
-                    slot = e[1]
-                    while slot and not _structural(slot):
-                        slot = slot.rpartition("/")[0]
-                    n = len(e[2].split())
-                    words[host, slot] += n
-                    linked[host, slot] += n * e[4]
+                elif e[0] == "text" and not e[3] and not e[4]:
+                    direct[e[1]] += len(e[2].split())
+            for slot, n in direct.items():
+                for path in (slot, *_ancestors(slot)):
+                    if path in seen:
+                        words[host, path] += n
+            everything = sum(direct.values())
             for path, n in seen.items():
+                uses[host, path] += n
+                reach[host, path] += everything
                 vector[host, path] ^= xxhash.xxh64_intdigest(b"%d %d" % (h, n))
                 pages[host, path] += 1
             pages[host, ""] += 1
-        keys = list({*pages, *words})
+        keys = list(pages)
         yield pd.DataFrame(
             {
                 "host": [k[0] for k in keys],
                 "path": [k[1] for k in keys],
                 "vector": [(vector[k] ^ (1 << 63)) - (1 << 63) if vector[k] < 1 << 64 else 0 for k in keys],
                 "pages": [pages[k] for k in keys],
+                "uses": [uses[k] for k in keys],
                 "words": [words[k] for k in keys],
-                "linked": [linked[k] for k in keys],
+                "reach": [reach[k] for k in keys],
                 "boiler": [k in boiler for k in keys],
             }
         )
 
 
-def _template(support: float):
+def _template(support: float, nearly: float = 0.9):
     def build(tokens: pd.Series, total: int) -> list[str]:
-        """The main slots of a host from its tokens' (path, vector, pages, words, linked, boiler)."""
+        """The main slots of a host from its tokens' (path, vector, pages, uses, words, reach, boiler)."""
         rows = {t["path"]: t for t in tokens}
         classes = defaultdict(list)
         for t in tokens:
@@ -193,14 +204,16 @@ def _template(support: float):
         if main:
             inner = [p for p in main if p.rsplit("/", 1)[-1].startswith("article")] or main
             return sorted(p for p in inner if not any(p.startswith(q + "/") for q in inner))
-        # no such element: the slot with most words outside links, counting what lies below it
-        weight: Counter[str] = Counter()
-        for t in tokens:
-            if not t["boiler"] and t["words"]:
-                weight[t["path"].rpartition("/")[0]] += t["words"] - 2 * t["linked"]
-                weight[t["path"]] += t["words"] - 2 * t["linked"]
-        inside = {p: w for p, w in weight.items() if p in valid}
-        return [max(inside, key=lambda p: (inside[p], -len(p), p))] if inside else []
+        # no such element: the deepest section, once on a page, with nearly all words of its pages below it
+        inside = [
+            p
+            for p in valid
+            if p.rsplit("/", 1)[-1].split(".")[0] in SECTIONS
+            and rows[p]["uses"] == rows[p]["pages"]
+            and rows[p]["words"] > 0
+            and rows[p]["words"] >= nearly * rows[p]["reach"]
+        ]
+        return [max(inside, key=lambda p: (p.count("/"), rows[p]["words"], p))] if inside else []
 
     def of_hosts(frames):
         for pdf in frames:
@@ -261,11 +274,11 @@ def extract_main_text(pages: DataFrame, support: float = 0.6) -> DataFrame:
     base = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     distinct = base.select("host", "html", F.xxhash64("html").alias("h"), F.md5("html").alias("m")).where("length(html) > 0")
     counted = distinct.dropDuplicates(["host", "h", "m"]).select("host", "html").mapInPandas(
-        _counts, "host string, path string, vector long, pages long, words long, linked long, boiler boolean"
+        _counts, "host string, path string, vector long, pages long, uses long, words long, reach long, boiler boolean"
     )
     tokens = counted.groupBy("host", "path").agg(
         F.bit_xor("vector").alias("vector"),
-        *[F.sum(c).alias(c) for c in ("pages", "words", "linked")],
+        *[F.sum(c).alias(c) for c in ("pages", "uses", "words", "reach")],
         F.max("boiler").alias("boiler"),
     )
     # only what is on enough pages can be template: at most a page's tokens / support for a host, however many pages it has
@@ -273,7 +286,7 @@ def extract_main_text(pages: DataFrame, support: float = 0.6) -> DataFrame:
     totals = tokens.where("path = ''").select("host", F.col("pages").alias("total"))
     tokens = tokens.join(totals, "host").where((F.col("pages") >= support * F.col("total")) | (F.col("path") == "")).drop("total")
     hosts = tokens.groupBy("host").agg(
-        F.collect_list(F.struct("path", "vector", "pages", "words", "linked", "boiler")).alias("tokens")
+        F.collect_list(F.struct("path", "vector", "pages", "uses", "words", "reach", "boiler")).alias("tokens")
     )
     templates = staged(hosts.mapInPandas(_template(support), "host string, slots string"), "templates")
 
