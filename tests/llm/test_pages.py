@@ -75,6 +75,46 @@ def test_slot_with_all_parts(spark):
         assert got[5 + n] == part(n, 1)
 
 
+def test_classes_decide(spark):
+    """Constant slots and the places of a class, not the names of tags, tell the slot."""
+    say = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k))
+    rows = []
+    for n in range(6):
+        about, top = "<div class=about><p>we write things about many things since long ago</div>", "<div class=top><p>top</div>"
+        rows.append((n, "http://constant.example", page(f"{about}<div class=story><p>{say(n, 40)}</div><div class=extra>see {n}</div>", n)))
+        box, tail = f"<div class=box><p>{say(n, 60)}</div>" if n < 5 else f"<p>{say(n, 60)}</p>", f"<div class=tail{'abcdef'[n]}>tail {n}</div>"
+        rows.append((10 + n, "http://same.example", page(top + box + tail, n)))
+        rows.append((20 + n, "http://moves.example", page((box + top if n % 2 else top + box) + tail, n)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()}
+    for n in range(5):
+        assert got[n] == say(n, 40)
+        assert got[10 + n] == say(n, 60)
+        assert got[20 + n] == f"{say(n, 60)}\ntail {n}"
+
+
+def test_valid_classes():
+    """Classes by hand: rounds of one order are valid, others are broken into pairs."""
+    tokens = lambda *paths: [(p, k) for p, k in sorted(paths)]
+
+    def valid(numbered, *pages):
+        seen = {}
+        for html in pages:
+            for kind, item, value in H.observed(html, numbered):
+                seen.setdefault((kind, item), set()).add(value)
+        return H.valid_tokens(numbered, {k for k, v in seen.items() if len(v) > 1 or None in v})
+
+    pair = tokens(("/ul", 0), ("/ul/li", 1), ("/ul/li/div", 1))
+    assert valid(pair, "<ul><li><div>a</div><li><div>b</div></ul>", "<ul><li><div>a</div></ul>") == {"/ul", "/ul/li", "/ul/li/div"}
+    assert valid(pair, "<ul><li><div>a</div><div>b</div><li></ul>") == {"/ul", "/ul/li"}
+    places = tokens(("/div", 0), ("/div/h1", 0), ("/div/div", 1))
+    assert valid(places, "<div><h1>a</h1><div>b</div></div>", "<div><h1>a</h1><div>b</div><div>c</div></div>") == {"/div", "/div/h1", "/div/div"}
+    assert valid(places, "<div><h1>a</h1><div>b</div></div>", "<div><div>b</div><h1>a</h1></div>") == {"/div", "/div/h1"}
+    # the class is in another order on each page: only its pairs with the parent remain, and they do not bind others
+    loose = tokens(("/div", 0), ("/div/h1", 0), ("/div/h2", 0), ("/div/div", 1))
+    assert valid(loose, "<div><h1>a</h1><h2>b</h2><div>c</div></div>", "<div><h2>b</h2><h1>a</h1><div>c</div></div>") == {"/div", "/div/h1", "/div/h2", "/div/div"}
+
+
 def test_known_articles_of_the_corpus(spark):
     """The corpus' pages have one article; its text by a plain reading of the markup must come out."""
     import html
