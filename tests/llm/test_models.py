@@ -49,6 +49,18 @@ def test_code_lengths_by_hand():
         assert model.code_lengths([probe])[0, 0] == pytest.approx(bits, rel=1e-5)
 
 
+@pytest.mark.parametrize("cells", [1 << 24, 0])
+def test_every_byte_is_a_symbol(spark, monkeypatch, cells):
+    """Languages that differ in rare bytes only, among more bytes than an alphabet of 112 has."""
+    monkeypatch.setattr(language_ppm, "CELLS", cells, raising=False)
+    common = "".join(map(chr, range(33, 127))) + "".join(chr(0x3041 + 64 * i) for i in range(24)) + "".join(map(chr, range(0x80, 0xC0)))
+    rows = [(i, common * 3 + {"a": "\u0416", "b": "\u05d0"}[g], g) for i, g in enumerate("ab" * 3)]
+    model = language_ppm.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.width == 1 + len(set((common + "\u0416\u05d0").encode()))
+    got = model.code_lengths(["\u0416\u0416".encode(), "\u05d0\u05d0".encode()])
+    assert got[0, 0] < got[0, 1] - 4 and got[1, 1] < got[1, 0] - 4
+
+
 def test_language_edges(spark):
     train = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat is here and there", "en"), ("der hund und die katze", "de")] * 5)] + [(99, None, "en"), (98, "x", None)], "doc_id long, text string, lang string")
     model = language_ppm.fit(train)

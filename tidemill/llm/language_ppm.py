@@ -9,8 +9,9 @@ constant, and the trees are written out as one table of exact code lengths for a
 language. A text costs one table look-up for a byte and language; the language
 with the shortest code wins, and the score is its posterior under equal priors.
 
-Bytes beyond the ``alphabet`` most frequent ones share one symbol. Its cost for
-telling them apart is the same in every language and left out.
+Every byte of the training texts is a symbol of its own. Bytes that no training
+text has share one, which is exact: they escape alike in all contexts. Where the
+table of all contexts of order 2 would be large, it holds the seen ones only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, encoded, rows_in_blocks
 
 UNDETERMINED = "und"
+#: Cells of the full tables of all languages together; beyond, order 2 is kept sparse.
+CELLS = 1 << 24
 
 
 def fold_of(column, folds: int = 5):
@@ -32,12 +35,28 @@ def fold_of(column, folds: int = 5):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
+@dataclass
+class Sparse:
+    """Code lengths of order 2: those of seen (context, byte), else of the escape and of order 1."""
+
+    width: int
+    codes: np.ndarray  # sorted
+    seen: np.ndarray  # float32, of each code
+    escape: np.ndarray  # float32[width**2], by context
+    lower: np.ndarray  # float32[width**2], by last byte and byte
+
+    def __getitem__(self, code: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        other = self.escape[code // self.width] + self.lower[code % self.width**2]
+        return np.where(self.codes[at] == code, self.seen[at], other)
+
+
 @dataclass
 class Model:
     languages: list[str]
     symbols: np.ndarray  # byte -> symbol, uint32[256]
     width: int
-    bits: np.ndarray  # float32[language, width**3]
+    bits: list  # of each language float32[width**3] or Sparse
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits (texts x languages)."""
@@ -64,7 +83,13 @@ def _tally(frames):
                 yield pd.DataFrame({"lang": lang, "code": code.astype(np.int64), "n": n})
 
 
-def _compiled(lang_codes: list[tuple[str, np.ndarray, np.ndarray]], alphabet: int) -> Model:
+def _shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of seen symbols and of the escape, in the contexts of all but the last axis."""
+    n_all, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
+    return counts / np.maximum(n_all + kinds, 1), np.where(n_all > 0, kinds / np.maximum(n_all + kinds, 1), 1.0)
+
+
+def _compiled(lang_codes: list[tuple[str, np.ndarray, np.ndarray]], alphabet: int = 257) -> Model:
     total = np.zeros(256)
     for _, code, n in lang_codes:
         total += np.bincount(code & 255, weights=n, minlength=256)
@@ -72,20 +97,27 @@ def _compiled(lang_codes: list[tuple[str, np.ndarray, np.ndarray]], alphabet: in
     symbols = np.zeros(256, np.uint32)
     symbols[sorted(common)] = np.arange(1, len(common) + 1)
     w = len(common) + 1
-    bits = np.empty((len(lang_codes), w**3), np.float32)
-    for k, (_, code, n) in enumerate(lang_codes):
-        c3 = np.zeros((w, w, w))
-        np.add.at(c3, (symbols[code >> 16], symbols[(code >> 8) & 255], symbols[code & 255]), n)
+    sparse = len(lang_codes) * w**3 > CELLS
+    bits = []
+    for _, code, n in lang_codes:
+        own = (symbols[code >> 16].astype(np.int64) * w + symbols[(code >> 8) & 255]) * w + symbols[code & 255]
+        codes, at = np.unique(own, return_inverse=True)
+        sums = np.bincount(at, weights=n)
+        c2 = np.bincount(codes % w**2, weights=sums, minlength=w**2).reshape(w, w)
         p = np.full(w, 1 / 256)
-        for counts in (c3.sum((0, 1)), c3.sum(0), c3):
-            n_all, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-            escape = np.where(n_all > 0, kinds / np.maximum(n_all + kinds, 1), 1.0)
-            p = np.where(counts > 0, counts / np.maximum(n_all + kinds, 1), escape * p)
-        bits[k] = -np.log2(p).reshape(-1)
+        for counts in (c2.sum(0), c2):
+            hit, escape = _shares(counts)
+            p = np.where(counts > 0, hit, escape * p)
+        context = codes // w
+        n_all, kinds = np.bincount(context, weights=sums, minlength=w**2), np.bincount(context, minlength=w**2)
+        seen = -np.log2(sums / (n_all + kinds)[context])
+        escape = -np.log2(np.where(n_all > 0, kinds / np.maximum(n_all + kinds, 1), 1.0))
+        table = Sparse(w, codes.astype(np.uint32), seen.astype(np.float32), escape.astype(np.float32), -np.log2(p).reshape(-1).astype(np.float32))
+        bits.append(table if sparse else table[np.arange(w**3, dtype=np.uint32)])
     return Model([x[0] for x in lang_codes], symbols, w, bits)
 
 
-def fit(docs: DataFrame, *, max_docs: int = 4000, alphabet: int = 112) -> Model:
+def fit(docs: DataFrame, *, max_docs: int = 4000, alphabet: int = 257) -> Model:
     """Learn from (doc_id, text, lang) rows with text and lang.
 
     At most about ``max_docs`` rows of a language are read, chosen by a hash of
