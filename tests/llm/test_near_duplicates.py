@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tidemill.llm import minhash_forest
 from tidemill.llm.components import components
 from tidemill.llm.minhash_forest import base_depth, near_duplicates
 
@@ -58,6 +59,16 @@ def test_equals_brute_force(spark, width, percent, crowd):
     assert got == brute(docs, width, percent)
 
 
+def test_rare_shingles_need_no_sketch(spark, monkeypatch):
+    """Without region leaders and without any similar sketches, rare shingles alone find all links."""
+    keep = minhash_forest.staged
+    monkeypatch.setattr(minhash_forest, "staged", lambda df, name: keep(df.limit(0) if name == "leaders" else df, name))
+    monkeypatch.setattr(minhash_forest, "_similar", lambda pairs, *_: pairs.limit(0))
+    docs = corpus(5)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=5, percent=80, crowd=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 5, 80)
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     a, b = "a b c d e f g h", "p q r s t u v w"
     df = spark.createDataFrame([(5, a), (5, a), (7, a), (8, b), (5, b), (None, a), (9, None)], "doc_id long, text string")

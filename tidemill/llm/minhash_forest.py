@@ -25,9 +25,9 @@ Links are found in two passes:
    No link is lost to the leaders' choice, and a
    large group costs no square of its size.
 
-Candidates of the second pass are first weighed by the share of equal labels
-(4.5 standard errors of slack); every link is then confirmed on full shingle
-sets. The depth of the base prefix is the largest at which a pair at the
+Candidates of the second pass that met in a region are first weighed by the share
+of equal labels (4.5 standard errors of slack), those that met on a rare shingle
+are not; every link is then confirmed on full shingle sets. The depth of the base prefix is the largest at which a pair at the
 threshold shares no region of any order with probability below 1e-6.
 """
 
@@ -112,7 +112,7 @@ def _signer(width: int, base: int, trees: int, depth: int):
 
 
 def _similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs whose share of equal labels is at least ``least``."""
+    """Pairs whose share of equal labels is at least ``least``, for any of the sketches of each."""
 
     @F.pandas_udf("double")
     def share(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -125,6 +125,7 @@ def _similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
         .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
         .where(share("sa", "sb") >= least)
         .select("a", "b")
+        .distinct()
     )
 
 
@@ -198,10 +199,11 @@ def _rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of rows (key, rep, n, place, c) with one key, different components, and sizes and places that allow a link.
+    """Pairs (a < b, rare) of rows (key, rare, rep, n, place, c) with one key, different components, and sizes and places that allow a link.
 
     If the key is the first shingle that two sets share, they share at most it and
     what follows it in the smaller rest; ``place`` is 0 where the key is a region.
+    ``rare`` tells whether any key of the pair is a shingle.
     """
     main = (
         rows.groupBy("key", "c")
@@ -219,8 +221,9 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             f"c <> cx and (c = main or x < rep) and 100 * least(n, nx) >= {percent} * greatest(n, nx) "
             f"and {100 + percent} * least(n - place, nx - px) >= {percent} * (n + nx)"
         )
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
+        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"), "rare")
+        .groupBy("a", "b")
+        .agg(F.max("rare").alias("rare"))
     )
 
 
@@ -292,14 +295,15 @@ def near_duplicates(
     rare = _rare_shingles(texts.join(crowded, "rep", "left_semi"), width, percent)
     keyed = (
         rows.where(F.col("size") <= few)
-        .select(F.col("near").alias("key"), "rep", "n", F.lit(0).cast("long").alias("place"))
-        .unionByName(rare)
+        .select(F.col("near").alias("key"), F.lit(False).alias("rare"), "rep", "n", F.lit(0).cast("long").alias("place"))
+        .unionByName(rare.withColumn("rare", F.lit(True)))
         .join(comp, "rep", "left")
-        .select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("c"))
+        .select("key", "rare", "rep", "n", "place", F.coalesce("component", "rep").alias("c"))
     )
-    second = _across(staged(keyed, "keyed"), percent).join(first, ["a", "b"], "left_anti")
+    second = staged(_across(staged(keyed, "keyed"), percent).join(first, ["a", "b"], "left_anti"), "second")
     slack = 4.5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
-    second = _similar(second, reps.dropDuplicates(["rep"]), threshold - slack)
+    close = _similar(second.where("not rare").select("a", "b"), reps.dropDuplicates(["rep", "sketch"]), threshold - slack)
+    second = second.where("rare").select("a", "b").unionByName(close)
     more = _confirmed(second, texts, width, percent)
     links = staged(links.unionByName(more), "links")
     # rows of one doc_id with several texts tie their classes together
