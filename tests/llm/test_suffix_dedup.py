@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemill.llm import suffix_dedup
 from tidemill.llm.suffix_dedup import anchors, blind_trie, deep_shallow, repeated_substrings
 
 
@@ -43,7 +44,44 @@ def test_equals_brute_force(spark, length, crowd):
     texts = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes string")
     got = repeated_substrings(df, length=length, crowd=crowd).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == brute(texts, length)
+    assert [tuple(r)[1:5] for r in got] == brute(texts, length)
+    assert all(r["n_repeated"] == r["n_removed"] for r in got)
+
+
+@pytest.mark.parametrize("length, passage, crowd", [(40, 20, 2048), (40, 11, 3), (100, 30, 2)])
+def test_two_lengths_equal_brute_force(spark, length, passage, crowd):
+    texts = corpus()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = repeated_substrings(df, length=length, passage=passage, crowd=crowd, with_text=True, carry=[]).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute(texts, length)
+    assert [r["n_repeated"] for r in got] == [r[1] for r in brute(texts, passage)]
+    for r, t in zip(got, texts, strict=True):
+        raw, at = (t or "").encode(), 0
+        kept = b""
+        for a, b in zip(r["spans"][::2], r["spans"][1::2], strict=True):
+            kept, at = kept + raw[at:a], b
+        assert kept + raw[at:] == bytes(r["kept"]) and r["was_null"] == (t is None)
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Windows at the borders of pieces, in texts of several pieces."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    rng = random.Random(8)
+    long = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = long(6000), long(9000)
+    texts = [a + b[1700:2300], b, long(50), a[900:1100] + long(700) + a[2900:3300], "z" * 4000]
+    raw = [t.encode() for t in texts]
+    got = suffix_dedup.anchors(raw, (60, 90), 30)
+    for i, t in enumerate(raw):
+        own = got[got["i"] == i]
+        for k, length in enumerate((60, 90)):
+            covered = [w for x, y in zip(own[f"a{k}"], own[f"b{k}"], strict=True) for w in range(x, y + 1)]
+            assert covered == list(range(max(0, len(t) - length + 1)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [long(300_000)])], "doc_id long, text string")
+    rows = repeated_substrings(df, length=90, passage=60).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in rows[:-1]] == brute(texts, 90) and rows[-1]["n_removed"] == 0
+    assert [r["n_repeated"] for r in rows[:-1]] == [r[1] for r in brute(texts, 60)]
 
 
 def test_text_and_spans(spark):
@@ -59,8 +97,8 @@ def test_equal_windows_pick_equal_places():
     a, b = np.concatenate([rng.integers(97, 123, 333, dtype=np.uint8), shared]), np.concatenate([shared, rng.integers(97, 123, 50, dtype=np.uint8)])
 
     def picks(t):
-        p, first, last, h = anchors(t, 400, 64)
-        return {s: (int(q) - s, int(g)) for q, x, y, g in zip(p, first, last, h) for s in range(x, y + 1)}
+        got = anchors([t.tobytes()], (400,), 64)
+        return {s: (int(q) - s, int(g)) for q, x, y, g in zip(got["p"], got["a0"], got["b0"], got["h"]) for s in range(x, y + 1)}
 
     pa, pb = picks(a), picks(b)
     assert all(pa[333 + s] == pb[s] for s in range(301)) and sorted(pa) == list(range(len(a) - 399))

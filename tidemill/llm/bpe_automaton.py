@@ -34,10 +34,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix64, powers, rows_in_blocks
+from .common import NONE, U64, Table, bounded_batches, mix64, powers, rows_in_blocks
 from .tokens import Batch, Memo, ragged
 
-NONE = np.int32(-1)
 LONG = 12
 
 
@@ -48,39 +47,6 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class Table:
-    """Open-addressing map from non-zero 64-bit keys to int32, looked up for whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * max(len(keys), 1)).bit_length() + 1)
-        self.keys, self.values = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, NONE)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):
-            free = self.keys[slot[left]] == 0
-            put = left[free][::-1]
-            self.keys[slot[put]] = keys[put]
-            self.values[slot[put]] = values[put]
-            left = left[self.keys[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], NONE)
-        left = np.flatnonzero((found != keys) & (found != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[slot[left]]
-            hit = found == keys[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
-            left = left[~hit & (found != 0)]
-        return out
-
-
 class Automaton:
     """Compiled from merges. symbols: token strings by id; suffix: the mark of a word's last base symbol."""
 

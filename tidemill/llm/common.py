@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+NONE = np.int32(-1)
 
 
 # ---------------------------------------------------------------- shared storage
@@ -36,15 +37,39 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` once to shared storage and continue from the files.
+def staged_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``df`` written once to shared storage and read from the files, and where they are.
 
     Cuts the lineage with a table that survives the loss of any executor, and
-    keeps several readers from recomputing an expensive frame.
+    keeps several readers from recomputing an expensive frame. The shuffle files
+    of the write are of no more use; the collection lets Spark delete them.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    return staged_at(df, purpose)[0]
+
+
+def bucketed(df: DataFrame, purpose: str, key: str) -> DataFrame:
+    """As ``staged``, in buckets of ``key``: joins and aggregations on it do not deal these rows again."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark, purpose), f"tidemill_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parallelism(spark), key).option("path", path).saveAsTable(name)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # an external table: its files stay
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that no frame still to be computed reads."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -117,6 +142,39 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((sums[ends] - sums[starts]) * q[starts])
 
 
+class Table:
+    """Open-addressing map from non-zero 64-bit keys to int32, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * max(len(keys), 1)).bit_length() + 1)
+        self.keys, self.values = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, NONE)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            put = left[free][::-1]
+            self.keys[slot[put]] = keys[put]
+            self.values[slot[put]] = values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], NONE)
+        left = np.flatnonzero((found != keys) & (found != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (found != 0)]
+        return out
+
+
 # ---------------------------------------------------------------- words of many texts
 def joined(texts: list[bytes], sep: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
     """One byte array of all texts, each followed by ``sep``, and where each begins (one more entry for the end)."""

@@ -30,9 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, byte_table, encoded, mix64, powers, staged
+from .common import U64, bounded_batches, bucketed, byte_table, discard, encoded, mix64, powers, rows_in_blocks, staged, staged_at, trim
 
-GRAM, SHALLOW, PIECE, STEP = 64, 32, 1 << 19, 16
+GRAM, SHALLOW, PIECE, BLOCK, STEP = 64, 32, 1 << 19, 1 << 17, 16
+#: Anchors that a task works on together.
+AT_ONCE = 4000
 TABLE = byte_table(11)
 
 
@@ -44,33 +46,84 @@ def _hashes(buf: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     return mix64((sums[width:] - sums[:-width]) * q[: len(buf) - width + 1] + U64(salt))
 
 
-def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
-    done = 1
-    while done * 2 <= width:
-        v = np.minimum(v[:-done], v[done:])
-        done *= 2
-    if width > done:
-        v = np.minimum(v[: len(v) - (width - done)], v[width - done :])
-    return v
+def _pieces(texts: list[bytes], longest: int):
+    """(text, offset, bytes) of the texts, the long ones cut so that no window of up to ``longest`` bytes is lost."""
+    for i, t in enumerate(texts):
+        for s in range(0, max(len(t), 1), PIECE):
+            yield i, s, t if len(t) <= PIECE else t[s : s + PIECE + longest - 1]
 
 
-def anchors(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window, last window, gram hash) of a text's anchors; windows are named by their start."""
-    parts = []
-    for s in range(0, max(len(text) - length + 1, 0), PIECE):
-        piece = text[s : s + PIECE + length - 1]
-        if len(piece) < length:
-            break
-        h = _hashes(piece, gram)
-        low = U64((1 << 24) - 1)
-        best = _sliding_min((h & ~low) | np.arange(len(h), dtype=U64), length - gram + 1)
-        place = (best & low).astype(np.int64)
-        a = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        b = np.append(a[1:] - 1, len(place) - 1)
-        parts.append((place[a] + s, a + s, b + s, h[place[a]].view(np.int64)))
-    if not parts:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def anchors(texts: list[bytes], lengths: tuple[int, ...], gram: int) -> pd.DataFrame:
+    """Anchors of a list of texts: (i, p, h, a0, b0[, a1, b1]) with the text's number, place, gram hash, and for each length the first and last window.
+
+    Windows are named by their start. ``lengths`` ascend. The smallest hash of a
+    window is also that of some shorter window in it, so the anchors of longer
+    windows are among those of shorter ones; ones that no long window has get the
+    empty range 0, -1.
+    """
+    low = U64((1 << 24) - 1)
+    found: list[list[tuple]] = [[] for _ in lengths]
+    block: list[tuple[int, int, bytes]] = []
+
+    def flush():
+        buf = np.frombuffer(b"".join(x for _, _, x in block), np.uint8)
+        size = np.array([len(x) for _, _, x in block], np.int64)
+        at = np.cumsum(size) - size
+        owner, offset = np.array([i for i, _, _ in block]), np.array([s for _, s, _ in block], np.int64)
+        if len(buf) < lengths[0]:
+            return
+        h = _hashes(buf, gram)
+        keys = (h & ~low) | np.arange(len(h), dtype=U64)
+        done = 1
+        for k, length in enumerate(lengths):
+            width = length - gram + 1
+            while done * 2 <= width:
+                if len(keys) <= done:
+                    return
+                keys = np.minimum(keys[:-done], keys[done:])
+                done *= 2
+            best = keys if width == done else np.minimum(keys[: len(keys) - (width - done)], keys[width - done :])
+            edge = np.zeros(len(buf) + 1, np.int8)
+            n = np.minimum(size - length + 1, PIECE)
+            some = n > 0
+            edge[at[some]] += 1
+            np.add.at(edge, at[some] + n[some], -1)
+            start = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
+            if not len(start):
+                return
+            place = (best[start] & low).astype(np.int64)
+            new = np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1))
+            x = np.flatnonzero(new)
+            y = np.append(x[1:] - 1, len(start) - 1)
+            part = np.searchsorted(at, start[x], "right") - 1
+            move = offset[part] - at[part]
+            found[k].append((owner[part], place[x] + move, h[place[x]].view(np.int64), start[x] + move, start[y] + move))
+
+    held = 0
+    for i, s, x in _pieces(texts, lengths[-1]):
+        if held and held + len(x) > BLOCK:
+            flush()
+            block, held = [], 0
+        block.append((i, s, x))
+        held += len(x)
+    if block:
+        flush()
+    out = {}
+    for k, parts in enumerate(found):
+        i, p, h, a, b = (np.concatenate(v) if parts else np.empty(0, np.int64) for v in (zip(*parts, strict=True) if parts else [()] * 5))
+        key = i * np.int64(1 << 40) + p
+        # a place whose windows two pieces share
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        i, p, h, key = i[first], p[first], h[first], key[first]
+        a, b = (np.minimum.reduceat(a, first), np.maximum.reduceat(b, first)) if len(first) else (a, b)
+        if k == 0:
+            out = {"i": i, "p": p, "h": h, "a0": a, "b0": b}
+            base = key
+        else:
+            where = np.searchsorted(base, key)
+            out[f"a{k}"], out[f"b{k}"] = np.zeros(len(base), np.int64), np.full(len(base), -1, np.int64)
+            out[f"a{k}"][where], out[f"b{k}"][where] = a, b
+    return pd.DataFrame(out)
 
 
 def blind_trie(strings: list[bytes]) -> list[int]:
@@ -169,16 +222,19 @@ def deep_shallow(groups: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray,
     return rank[same], lcp
 
 
-def repeated_windows(groups, left: list[bytes], right: list[bytes], least: np.ndarray, most: np.ndarray, length: int):
-    """For each o: rows whose window o bytes before the anchor is repeated among the rows of their group.
+def repeated_windows(left: tuple, right: tuple, least: np.ndarray, most: np.ndarray, length: int, some: np.ndarray):
+    """For each o: rows of ``some`` whose window o bytes before the anchor is repeated among the rows of their group.
 
-    left holds the bytes before each anchor, backwards; windows of a row exist for
-    least <= o <= most. Yields (o, rows with a window, their class, whether repeated).
+    left and right are the sorted bytes before each anchor, backwards, and from it
+    on (as of deep_shallow); windows of a row exist for least <= o <= most. Yields
+    (o, rows with a window, their class, whether repeated).
     """
-    lrank, llcp = deep_shallow(groups, left)
-    rrank, rlcp = deep_shallow(groups, right)
-    for o in range(int(least.min()), int(most.max()) + 1):
-        rows = np.flatnonzero((least <= o) & (o <= most))
+    (lrank, llcp), (rrank, rlcp) = left, right
+    some = some[least[some] <= most[some]]
+    if not len(some):
+        return
+    for o in range(int(least[some].min()), int(most[some].max()) + 1):
+        rows = some[(least[some] <= o) & (o <= most[some])]
         if not len(rows):
             continue
         lc = np.cumsum(llcp < o)
@@ -188,61 +244,94 @@ def repeated_windows(groups, left: list[bytes], right: list[bytes], least: np.nd
         yield o, rows, inverse, count[inverse] > 1
 
 
+def _pair_windows(left: tuple, right: tuple, least: np.ndarray, most: np.ndarray, length: int, x: np.ndarray, y: np.ndarray):
+    """(lowest, highest o) at which the windows of rows x and y, the only ones of their groups, are equal."""
+
+    def common(rank, lcp):
+        a, b = rank[x], rank[y]
+        return np.where(a == b, np.int64(1 << 40), lcp[np.maximum(a, b)])
+
+    lo = np.maximum(np.maximum(least[x], least[y]), length - common(*right))
+    return lo, np.minimum(np.minimum(most[x], most[y]), common(*left))
+
+
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
 
 
-def _solver(length: int, rows_at_once: int = 6000):
+def _solver(lengths: tuple[int, ...], rows_at_once: int = AT_ONCE):
     """Groups of anchors in, out: repeated runs of windows, and of dealt groups what other tasks must know."""
 
-    step = min(STEP, max(1, length // 4))
-
     def solve(df: pd.DataFrame):
-        least = (df["p"] - df["b"]).to_numpy(np.int64)
-        most = (df["p"] - df["a"]).to_numpy(np.int64)
-        seg = df["seg"].tolist()
-        left = [s[:m][::-1] for s, m in zip(seg, most.tolist(), strict=True)]
-        right = [s[m:] for s, m in zip(seg, most.tolist(), strict=True)]
-        group = df["g"].to_numpy()
-        wide = int(most.max()) + 1
-        found = np.zeros((len(df), wide), bool)
-        tell = np.zeros((len(df), wide), bool)
-        dealt = df["salts"].to_numpy() > 1
-        for o, rows, cls, rep in repeated_windows(group, left, right, least, most, length):
-            found[rows, o] = rep
-            if dealt[rows].any():
-                one = np.zeros(len(rows), bool)
-                one[np.unique(cls, return_index=True)[1]] = True  # one of each class speaks for it
-                tell[rows, o] = (one | ~rep) & dealt[rows]
-        t, p = df["t"].tolist(), df["p"].to_numpy(np.int64)
-        out = {"t": [], "first": [], "last": [], "core": [], "known": [], "windows": []}
-        for i in np.flatnonzero(found.any(1)).tolist():
-            x, y = _runs(found[i])
-            out["t"] += [t[i]] * len(x)
-            out["first"] += (p[i] - y).tolist()
-            out["last"] += (p[i] - x).tolist()
-            out["core"] += [None] * len(x)
-            out["known"] += [True] * len(x)
-            out["windows"] += [None] * len(x)
-        for i in np.flatnonzero(tell.any(1)).tolist():
-            buf = np.frombuffer(seg[i], np.uint8)
-            whole = _hashes(buf, length, 5).view(np.int64)
-            core = _hashes(buf, length - step + 1, 9).view(np.int64)
-            for j in np.unique(np.flatnonzero(tell[i]) // step).tolist():
-                os = np.arange(j * step, min((j + 1) * step, wide))
-                os = os[tell[i, os]]
-                for known in (False, True):
-                    some = os[found[i, os] == known]
-                    if len(some):
-                        out["t"].append(t[i])
-                        out["first"].append(int(p[i]))
-                        out["last"].append(int(some[0]))
-                        out["core"].append(int(core[most[i] - j * step]) ^ j)
-                        out["known"].append(known)
-                        out["windows"].append([x for o in some.tolist() for x in (o, int(whole[most[i] - o]))])
-        out["windows"] = pd.Series(out["windows"], dtype=object)
-        return pd.DataFrame(out)
+        p, t, seg = df["p"].to_numpy(np.int64), df["t"].to_numpy(), df["seg"].tolist()
+        reach = p - df["start"].to_numpy(np.int64)
+        group, dealt = df["g"].to_numpy(), df["salts"].to_numpy() > 1
+        left = deep_shallow(group, [s[:m][::-1] for s, m in zip(seg, reach.tolist(), strict=True)])
+        right = deep_shallow(group, [s[m:] for s, m in zip(seg, reach.tolist(), strict=True)])
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        count = np.diff(np.append(first, len(group)))
+        twos = first[(count == 2) & ~dealt[first]]
+        more = np.flatnonzero(np.repeat((count > 2) | dealt[first], count))
+        out = {"k": [], "t": [], "first": [], "last": []}
+        told = {"k": [], "t": [], "first": [], "last": [], "core": [], "known": [], "windows": []}
+
+        def add(k, rows, lo, hi):
+            out["k"].append(np.full(len(rows), k))
+            out["t"].append(t[rows])
+            out["first"].append(p[rows] - hi)
+            out["last"].append(p[rows] - lo)
+
+        for k, length in enumerate(lengths):
+            least, most = p - df[f"b{k}"].to_numpy(np.int64), p - df[f"a{k}"].to_numpy(np.int64)
+            none = df[f"b{k}"].to_numpy() < 0
+            least[none], most[none] = 1 << 40, -1
+            lo, hi = _pair_windows(left, right, least, most, length, twos, twos + 1)
+            for rows in (twos, twos + 1):
+                add(k, rows[lo <= hi], lo[lo <= hi], hi[lo <= hi])
+            if not len(more):
+                continue
+            spot = np.full(len(df), -1)
+            spot[more] = np.arange(len(more))
+            wide = int(most[more].max(initial=-1)) + 1
+            found, tell = np.zeros((len(more), wide + 1), bool), np.zeros((len(more), wide + 1), bool)
+            for o, rows, cls, rep in repeated_windows(left, right, least, most, length, more):
+                found[spot[rows], o] = rep
+                if dealt[rows].any():
+                    one = np.zeros(len(rows), bool)
+                    one[np.unique(cls, return_index=True)[1]] = True  # one of each class speaks for it
+                    tell[spot[rows], o] = (one | ~rep) & dealt[rows]
+            edge = np.diff(found.astype(np.int8), axis=1, prepend=0)
+            r, lo = np.nonzero(edge == 1)
+            _, hi = np.nonzero(edge == -1)
+            add(k, more[r], lo, hi - 1)
+            step = min(STEP, max(1, length // 4))
+            for i in np.flatnonzero(tell.any(1)).tolist():
+                at = more[i]
+                buf = np.frombuffer(seg[at], np.uint8)
+                whole = _hashes(buf, length, 5).view(np.int64)
+                core = _hashes(buf, length - step + 1, 9).view(np.int64)
+                for j in np.unique(np.flatnonzero(tell[i]) // step).tolist():
+                    os = np.arange(j * step, min((j + 1) * step, wide))
+                    os = os[tell[i, os]]
+                    for known in (False, True):
+                        some = os[found[i, os] == known]
+                        if len(some):
+                            told["k"].append(k)
+                            told["t"].append(t[at])
+                            told["first"].append(int(p[at]))
+                            told["last"].append(int(some[0]))
+                            told["core"].append(int(core[reach[at] - j * step]) ^ j)
+                            told["known"].append(known)
+                            told["windows"].append(np.stack([some, whole[reach[at] - some]], 1).reshape(-1))
+        runs = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+        n = len(runs)
+        runs["core"], runs["known"], runs["windows"] = pd.array([None] * n, "Int64"), True, pd.Series([None] * n, dtype=object)
+        if not told["k"]:
+            return runs
+        told["core"] = pd.array(told["core"], "Int64")
+        told["windows"] = pd.Series(told["windows"], dtype=object)
+        return pd.concat([runs, pd.DataFrame(told)], ignore_index=True) if n else pd.DataFrame(told)
 
     def run(frames):
         held = []
@@ -258,6 +347,7 @@ def _solver(length: int, rows_at_once: int = 6000):
             if whole:
                 if len(out := solve(_numbered(df.iloc[:whole]))):
                     yield out
+                trim()
             held, count = [df.iloc[whole:]], len(df) - whole
         df = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
         if len(df) and len(out := solve(_numbered(df))):
@@ -271,28 +361,41 @@ def _numbered(df: pd.DataFrame) -> pd.DataFrame:
     return df.assign(g=np.cumsum(new.to_numpy()))
 
 
-def _finish(length: int):
-    """Remaining bytes of texts from their repeated runs of windows."""
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for t, text, runs in zip(pdf["t"], encoded(pdf["text"]), pdf["runs"], strict=True):
-                edge = np.zeros(len(text) + 1, np.int64)
-                first = np.array([r["first"] for r in runs], np.int64)
-                last = np.array([r["last"] for r in runs], np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last + length, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                starts, ends = _runs(gone)
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((t, int(gone.sum()), len(starts), hashlib.sha256(kept).hexdigest(), kept, [x for s in zip(starts.tolist(), (ends + 1).tolist(), strict=True) for x in s]))
-            yield pd.DataFrame(out, columns=["t", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
-
-    return run
-
+def _finisher(lengths: tuple[int, ...], with_text: bool):
+    """What is left of a text without its repeated runs of windows; null where there are none."""
+    kind = "n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept binary, spans array<long>" * with_text
 
-def repaired(column: str):
+    @F.pandas_udf(kind)
+    def finish(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw, own in zip(text, runs, strict=True):
+            if raw is None or own is None:
+                out.append((None,) * (4 + 2 * with_text))
+                continue
+            raw = raw.encode("utf-8", "surrogatepass")
+            masks = []
+            for k, length in enumerate(lengths):
+                edge = np.zeros(len(raw) + 1, np.int64)
+                np.add.at(edge, [r["first"] for r in own if r["k"] == k], 1)
+                np.add.at(edge, [r["last"] + length for r in own if r["k"] == k], -1)
+                masks.append(np.cumsum(edge)[:-1] > 0)
+            gone = masks[-1]
+            starts, ends = _runs(gone)
+            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            row = (int(gone.sum()), len(starts), hashlib.sha256(kept).hexdigest(), int(masks[0].sum()))
+            if with_text:
+                row += (kept, [x for s in zip(starts.tolist(), (ends + 1).tolist(), strict=True) for x in s])
+            out.append(row)
+        names = [c.split()[0] for c in kind.split(", ")]
+        frame = pd.DataFrame(out, columns=names, dtype=object)
+        for c in ("n_removed", "n_spans", "n_repeated"):
+            frame[c] = frame[c].astype("Int64")
+        return frame
+
+    return finish
+
+
+def repaired(column):
     """Binary text without the broken characters that a cut has left."""
 
     @F.pandas_udf("string")
@@ -303,118 +406,130 @@ def repaired(column: str):
 
 
 def repeated_substrings(
-    docs: DataFrame, *, length: int = 400, crowd: int = 2048, with_text: bool = False, carry: list[str] | None = None
+    docs: DataFrame, *, length: int = 400, passage: int | None = None, crowd: int = 2048, with_text: bool = False, carry: list[str] | None = None
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, spans, original, was_null]) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated[, kept binary, spans, was_null]) for every row of ``docs`` (doc_id, text).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts at
     another place of any text, its own included. Texts are judged as given, not
-    after removals. A null text is empty. ``carry`` names columns to pass on. Rows are texts of their own, also with
-    equal or null doc_ids. ``spans`` lists begin and end of what was removed. Other
-    columns are ignored; an empty table gives an empty result.
+    after removals. ``n_repeated`` counts the bytes that are covered so by strings
+    of ``passage`` bytes (``length`` if not given, and never more). A null text is empty. ``carry`` names columns to
+    pass on. Rows are texts of their own, also with equal or null doc_ids. ``spans``
+    lists begin and end of what was removed. Other columns are ignored; an empty
+    table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
-    gram = min(GRAM, max(1, length // 2))
-    blob = F.coalesce(F.col("text"), F.lit(""))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    lengths = tuple(sorted({min(passage or length, length), length}))
+    gram = min(GRAM, max(1, lengths[0] // 2))
     carry = carry or []
-    rows = docs.select("doc_id", *carry, F.col("text").isNull().alias("was_null"), blob.alias("text")).withColumn("t", F.unhex(F.md5("text")))
-    size = F.octet_length("text").cast("long")
-    texts = staged(
-        rows.select("t", "text").where(size >= length).groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts"
-    )
+    rows = docs.select("doc_id", *carry, F.col("text").isNull().alias("was_null"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    long_rows = rows.where(F.col("n_bytes") >= lengths[0]).withColumn("t", F.unhex(F.md5("text")))
+    # equal texts are one; copies meet map-side, and a text is dealt out only here
+    own = F.struct("doc_id", *carry, "text")
+    texts = bucketed(long_rows.groupBy("t").agg(F.first(own).alias("x"), F.count("*").alias("copies")).select("t", "copies", "x.*"), "texts", "t")
+
+    ranges = [f"{c}{k}" for k in range(len(lengths)) for c in "ab"]
 
     def find(frames):
         for pdf in frames:
-            for t, text in zip(pdf["t"], encoded(pdf["text"]), strict=True):
-                p, a, b, h = anchors(np.frombuffer(text, np.uint8), length, gram)
-                yield pd.DataFrame({"t": [t] * len(p), "p": p, "a": a, "b": b, "h": h})
-
-    def gathered(frames):  # many small frames into some large ones
-        held, n = [], 0
-        for f in find(frames):
-            held.append(f)
-            n += len(f)
-            if n >= 20000:
-                yield pd.concat(held, ignore_index=True)
-                held, n = [], 0
-        if n:
-            yield pd.concat(held, ignore_index=True)
-
-    places = staged(texts.select("t", "text").mapInPandas(gathered, "t binary, p long, a long, b long, h long"), "anchors")
+            for part in rows_in_blocks(iter([pdf]), "text", 4 << 20):
+                out = anchors(encoded(part["text"]), lengths, gram)
+                t = part["t"].to_numpy()
+                for begin in range(0, len(out), 20000):
+                    some = out.iloc[begin : begin + 20000]
+                    yield some.assign(t=t[some["i"].to_numpy()]).drop(columns="i")
+
+    numbers = "".join(f", {c} long" for c in ranges)
+    places, places_at = staged_at(texts.select("t", "text").mapInPandas(find, f"t binary, p long, h long{numbers}"), "anchors")
     # written first, so that the join below deals both sides anew and a common gram can be split
-    often = staged(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    often, often_at = staged_at(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     salts = F.ceil(F.col("n") / crowd)
-    mine = places.join(often, "h").select(
-        "t",
-        F.struct("h", "p", "a", "b", F.when(salts > 1, F.pmod(F.xxhash64("t", "p"), salts)).otherwise(0).cast("int").alias("salt"), salts.cast("int").alias("salts")).alias("x"),
-    )
-    listed = mine.groupBy("t").agg(F.collect_list("x").alias("xs"))
+    salt = F.when(salts > 1, F.pmod(F.xxhash64("t", "p"), salts)).otherwise(0).cast("int").alias("salt")
+    mine = places.join(often, "h").select("t", F.struct("h", "p", *ranges, salt, salts.cast("int").alias("salts")).alias("x"))
+    listed, listed_at = staged_at(mine.groupBy("t").agg(F.collect_list("x").alias("xs")), "listed")
+    discard(spark, places_at, often_at)
 
     def cut(frames):
-        names = ["h", "salt", "salts", "p", "a", "b"]
+        names = ["h", "salt", "salts", "p", *ranges]
         for pdf in frames:
-            for begin in range(0, len(pdf), 400):
-                part = pdf.iloc[begin : begin + 400]
-                count = part["h"].map(len).to_numpy()
-                out = pd.DataFrame({c: np.concatenate(part[c].to_list()) for c in names})
-                seg = []
-                for text, first, last in zip(encoded(part["text"]), part["a"], part["b"], strict=True):
-                    seg += [text[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                out.insert(3, "t", pd.Series(np.repeat(np.array(part["t"].to_list(), object), count), dtype=object))
-                out["seg"] = seg
+            texts_here = encoded(pdf["text"])
+            count = pdf["h"].map(len).to_numpy()
+            owner = np.repeat(np.arange(len(pdf)), count)
+            every = {c: np.concatenate(pdf[c].to_list()) for c in names} if len(pdf) else {}
+            t = pdf["t"].to_numpy()
+            for begin in range(0, len(owner), AT_ONCE):
+                out = pd.DataFrame({c: v[begin : begin + AT_ONCE] for c, v in every.items()})
+                own = owner[begin : begin + AT_ONCE]
+                first, last = out["a0"].to_numpy(), out["b0"].to_numpy() + lengths[0]
+                for k in range(1, len(lengths)):
+                    has = out[f"b{k}"].to_numpy() >= 0
+                    first = np.where(has, np.minimum(first, out[f"a{k}"]), first)
+                    last = np.where(has, np.maximum(last, out[f"b{k}"] + lengths[k]), last)
+                out.insert(3, "t", t[own])
+                out["start"] = first
+                out["seg"] = [texts_here[i][x:y] for i, x, y in zip(own.tolist(), first.tolist(), last.tolist(), strict=True)]
                 yield out
 
-    segments = texts.select("t", "text").join(listed, "t").select("t", "text", "xs.h", "xs.salt", "xs.salts", "xs.p", "xs.a", "xs.b").mapInPandas(
-        cut, "h long, salt int, salts int, t binary, p long, a long, b long, seg binary"
+    xs = [f"xs.{c}" for c in ("h", "salt", "salts", "p", *ranges)]
+    segments = texts.select("t", "text").join(listed, "t").select("t", "text", *xs).mapInPandas(
+        cut, f"h long, salt int, salts int, t binary, p long{numbers}, start long, seg binary"
     )
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    solved = staged(
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    solved, _ = staged_at(
         segments.repartition(parts, "h", "salt")
         .sortWithinPartitions("h", "salt")
-        .mapInPandas(_solver(length), "t binary, first long, last long, core long, known boolean, windows array<long>"),
+        .mapInPandas(_solver(lengths), "k int, t binary, first long, last long, core long, known boolean, windows array<long>"),
         "solved",
     )
-    runs = solved.where("core is null").select("t", "first", "last")
+    discard(spark, listed_at)
+    runs = solved.where("core is null").select("t", "k", "first", "last")
     # between tasks: cores that several rows name, then their windows
     told = solved.where("core is not null")
-    cores = told.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    cores = told.groupBy("core", "k").agg(F.count("*").alias("n")).where("n > 1").select("core", "k")
     pairs = F.expr("transform(sequence(0, cast(size(windows) / 2 as int) - 1), i -> struct(windows[2 * i] as o, windows[2 * i + 1] as w))")
     windows = staged(
-        told.join(cores, "core").select("t", "core", "known", F.col("first").alias("p"), F.explode(pairs).alias("x")).select("t", "core", "known", (F.col("p") - F.col("x.o")).alias("s"), F.col("x.w").alias("w")),
+        told.join(cores, ["core", "k"])
+        .select("t", "core", "k", "known", F.col("first").alias("p"), F.explode(pairs).alias("x"))
+        .select("t", "core", "k", "known", (F.col("p") - F.col("x.o")).alias("s"), F.col("x.w").alias("w")),
         "windows",
     )
-    twice = windows.groupBy("core", "w").agg(F.count("*").alias("n")).where("n > 1").select("core", "w")
-    late = windows.where("not known").join(twice, ["core", "w"]).select("t", F.col("s").alias("first"), F.col("s").alias("last"))
-    by_text = runs.unionByName(late).groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    cutdown = texts.where("copies = 1").select("t", "text").join(by_text, "t").mapInPandas(
-        _finish(length), "t binary, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>"
-    )
-    if not with_text:
-        cutdown = cutdown.drop("kept", "spans")
-    whole = texts.where("copies > 1").select("t", F.lit(True).alias("whole"))
-    base = rows.select("doc_id", *carry, "t", size.alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    twice = windows.groupBy("core", "k", "w").agg(F.count("*").alias("n")).where("n > 1").select("core", "k", "w")
+    late = windows.where("not known").join(twice, ["core", "k", "w"]).select("t", "k", F.col("s").alias("first"), F.col("s").alias("last"))
+    by_text = runs.unionByName(late).groupBy("t").agg(F.collect_list(F.struct("k", "first", "last")).alias("runs"))
+
+    size, none = F.col("n_bytes"), F.array().cast("array<bigint>")
+    columns = ["doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"] + ["kept", "spans", "was_null"] * with_text
+    whole_text = F.col("text").cast("binary")
+    untouched = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("text", 256)}
+    short = rows.where(size < lengths[0]).withColumns(untouched | {"n_repeated": F.lit(0).cast("long"), "kept": whole_text, "spans": none})
+    # texts that occur once: the buckets meet their runs
+    finish = _finisher(lengths, with_text)
+    single = texts.where("copies = 1").join(by_text, "t", "left").withColumn("x", finish(F.when(F.col("runs").isNotNull(), F.col("text")), "runs"))
+    done = {c: F.coalesce(f"x.{c}", v) for c, v in (untouched | {"n_repeated": F.lit(0).cast("long")}).items()}
     if with_text:
-        base = rows.withColumn("n_bytes", size).withColumn("sha", F.sha2("text", 256))
-    cutdown = staged(cutdown, "cutdown")
-    out = base.join(cutdown, "t", "left").join(whole, "t", "left")
-    gone = F.col("whole").isNotNull()
-    columns = [
-        "doc_id",
-        *carry,
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    ]
-    if with_text:
-        columns += [
-            F.col("text").alias("original"),
-            "was_null",
-            F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", F.col("text").cast("binary"))).alias("kept"),
-            F.when(gone, F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(F.coalesce("spans", F.array().cast("array<bigint>"))).alias("spans"),
-        ]
-    return out.select(*columns)
+        done |= {"kept": F.coalesce("x.kept", whole_text), "spans": F.coalesce("x.spans", none), "was_null": F.lit(False)}
+    single = single.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumns(done)
+    # texts that occur several times are repeated as a whole, if long enough; their rows need no text
+    gone = size >= length
+    copied = {
+        "n_removed": F.when(gone, size).otherwise(0),
+        "n_spans": F.when(gone, 1).otherwise(0).cast("long"),
+        "kept_sha256": F.sha2(F.when(gone, F.lit("")).otherwise(F.col("text")), 256),
+        "n_repeated": size,
+        "kept": F.when(gone, F.lit(b"")).otherwise(whole_text),
+        "spans": F.when(gone, F.array(F.lit(0).cast("long"), size)).otherwise(none),
+    }
+    many = texts.where("copies > 1").select("t")
+    multiple = long_rows.withColumns(copied).select("t", *columns).join(many, "t")
+    return short.select(*columns).unionByName(single.select(*columns)).unionByName(multiple.select(*columns))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The contract's columns for strings of 400 bytes; ``n_repeated`` and ``repeats`` tell of passages of 200 bytes or more.
+
+    A passage of over 50 words may well be shorter than 400 bytes.
+    """
+    out = repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400, passage=200)
+    return out.withColumn("repeats", F.col("n_repeated") > 0)
