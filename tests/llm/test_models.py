@@ -19,48 +19,67 @@ def test_language_held_out(spark):
     assert len(rows) == docs.count() and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
 
 
-def test_code_lengths_by_hand():
-    """Counts of one text, one symbol at a time, against the definition."""
-    text = b"abab"
-    padded = b"\n\n" + text
-    grams = {}
-    for i in range(len(text)):
-        k = int.from_bytes(padded[i : i + 3], "big")
-        grams[k] = grams.get(k, 0) + 1
-    model = language_ppm._compiled([("x", np.array(list(grams)), np.array(list(grams.values()), float))], 112)
-
-    def probability(context, symbol):
-        if context is None:
-            return 1 / 256
-        counts = {}
-        for k, n in grams.items():
-            b = k.to_bytes(3, "big")
-            if b[2 - len(context) : 2] == context:
-                counts[b[2]] = counts.get(b[2], 0) + n
-        lower = context[1:] if context else None
-        total, kinds = sum(counts.values()), len(counts)
-        if symbol in counts:
-            return counts[symbol] / (total + kinds)
-        return (kinds / (total + kinds) if total else 1) * probability(lower, symbol)
-
-    for probe in (b"abab", b"ba", b"abz"):
-        p = b"\n\n" + probe
-        bits = -sum(np.log2(probability(p[i : i + 2], p[i + 2])) for i in range(len(probe)))
-        assert model.code_lengths([probe])[0, 0] == pytest.approx(bits, rel=1e-5)
-
-
-@pytest.mark.parametrize("cells", [1 << 24, 0])
-def test_every_byte_is_a_symbol(spark, monkeypatch, cells):
-    """Languages that differ in rare bytes only, among more bytes than an alphabet of 112 has."""
-    monkeypatch.setattr(language_ppm, "CELLS", cells, raising=False)
+@pytest.mark.parametrize("order", [0, 2, 4])
+def test_code_lengths_by_definition(order):
+    """Random bytes against the definition, a byte at a time, two languages."""
+    rng = random.Random(order)
+    pad = b"\n" * order
+    draw = lambda letters, n: bytes(rng.choice(letters) for _ in range(n))
+    texts = {"x": [draw(b"ab\n", 60), draw(b"abc\xff", 40), b""], "y": [draw(b"bcd\x00", 80), draw(bytes(range(256)), 300)]}
+    counts = {g: {} for g in texts}
+    for g, own in texts.items():
+        for t in own:
+            p = pad + t
+            for i in range(len(t)):
+                for k in range(order + 1):
+                    at = counts[g].setdefault(p[i + order - k : i + order], {})
+                    at[p[i + order]] = at.get(p[i + order], 0) + 1
+
+    def probability(g, context, byte):
+        at = counts[g].get(context, {})
+        total, kinds = sum(at.values()), len(at)
+        if byte in at:
+            return at[byte] / (total + kinds)
+        rest = probability(g, context[1:], byte) if context else 1 / 256
+        return (kinds / (total + kinds) if total else 1) * rest
+
+    tally = []
+    for g, own in texts.items():
+        code, n = np.unique(language_ppm._grams(own, order)[0], return_counts=True)
+        tally.append((g, code, n.astype(float)))
+    model = language_ppm._compiled(tally, order)
+    probes = [b"", b"abab", texts["x"][0], texts["y"][1], draw(bytes(range(256)), 200), b"\n\n", draw(b"abcd", 5000)]
+    got = model.code_lengths(probes)
+    for i, t in enumerate(probes):
+        p = pad + t
+        for j, g in enumerate(texts):
+            bits = -sum(np.log2(probability(g, p[k : k + order], p[k + order])) for k in range(len(t)))
+            assert got[i, j] == pytest.approx(bits, rel=1e-9)
+
+
+def test_every_byte_is_a_symbol(spark):
+    """Languages that differ in rare bytes only."""
     common = "".join(map(chr, range(33, 127))) + "".join(chr(0x3041 + 64 * i) for i in range(24)) + "".join(map(chr, range(0x80, 0xC0)))
     rows = [(i, common * 3 + {"a": "\u0416", "b": "\u05d0"}[g], g) for i, g in enumerate("ab" * 3)]
     model = language_ppm.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.width == 1 + len(set((common + "\u0416\u05d0").encode()))
     got = model.code_lengths(["\u0416\u0416".encode(), "\u05d0\u05d0".encode()])
     assert got[0, 0] < got[0, 1] - 4 and got[1, 1] < got[1, 0] - 4
 
 
+def test_language_acceptance(spark):
+    """Letterless texts go with and without a model; so do texts that no learned language is like."""
+    rng = random.Random(1)
+    train = [(i, " ".join(rng.choice("the cat sat on a mat and saw dogs".split()) for _ in range(60)), "en") for i in range(30)]
+    train += [(100 + i, " ".join(rng.choice("der hund und die katze sind hier".split()) for _ in range(60)), "de") for i in range(30)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(train, schema)
+    noise = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(400))
+    probe = spark.createDataFrame([(1, "the cat and a mat", None), (2, "1 2 3", None), (3, None, None), (4, noise, None), (5, "the cat sat on a mat " * 20000, None)], schema)
+    kept = lambda model: sorted(r["doc_id"] for r in language_ppm.accepted(probe, model).collect())
+    assert kept(language_ppm.fit(docs)) == [1, 5]
+    assert kept(language_ppm.fit(docs.limit(0))) == [1, 4, 5]
+
+
 def test_language_edges(spark):
     train = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat is here and there", "en"), ("der hund und die katze", "de")] * 5)] + [(99, None, "en"), (98, "x", None)], "doc_id long, text string, lang string")
     model = language_ppm.fit(train)
@@ -68,8 +87,8 @@ def test_language_edges(spark):
     got = sorted((r["doc_id"] or -1, r["lang_pred"]) for r in language_ppm.predict(df, model).collect())
     assert got == [(-1, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "de"), (4, "en")]
     assert language_ppm.predict(df.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        language_ppm.fit(train.where("lang = 'xx'"))
+    none = language_ppm.predict(df, language_ppm.fit(train.where("lang = 'xx'"))).collect()
+    assert {(r["lang_pred"], r["score"]) for r in none if r["doc_id"] != 4} == {("und", 0.0)} == {(r["lang_pred"], r["score"]) for r in none}
 
 
 def test_toxicity_held_out(spark):
@@ -161,3 +180,17 @@ def test_leaks(spark):
     rows = decontaminate.judged(df, bench).collect()
     assert len(rows) == len(docs) and {r["doc_id"] for r in rows if r["contaminated"]} == {1, 2, 4, 7, 8}
     assert decontaminate.judged(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_uncontaminated_rows(spark):
+    """Rows are judged one by one, whatever their ids, in one block or several."""
+    words = [f"w{i}" for i in range(40)]
+    item, other = " ".join(words), " ".join(f"v{i}" for i in range(20))
+    rows = [(None, item), (None, "x"), (1, item + " q"), (1, "y"), (2, None), (3, " ".join(words[20:] + words[:20])), (4, "a " * 50000 + other)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(10, item), (11, other), (10, item), (12, None)], "item_id long, text string")
+    for block in (16 << 20, 50):
+        got = decontaminate.uncontaminated(df, bench, block_bytes=block)
+        assert got.columns == df.columns
+        assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect() if r["text"]) == [(-1, "x"), (1, "y")] and got.count() == 3
+    assert decontaminate.uncontaminated(df, bench.limit(0)).count() == len(rows)

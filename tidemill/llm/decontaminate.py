@@ -100,50 +100,53 @@ def tiles(pairs: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _search(block: Block, least: float):
-    def run(frames):
-        for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "text"):
-                w = _words(part["text"])
-                found: list[tuple[int, int, float]] = []
-                for width, seeds, items, places, bitmap in block.index:
-                    g = _grams(w.hashes, width)
-                    hit = np.flatnonzero(bitmap[(g & U64(0xFFFFF)).astype(np.int64)])
-                    lo = np.searchsorted(seeds, g[hit], "left")
-                    n = np.searchsorted(seeds, g[hit], "right") - lo
-                    hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
-                    doc = np.searchsorted(w.first, hit, "right") - 1
-                    inside = hit + width <= w.first[doc + 1]
-                    hit, lo, n, doc = hit[inside], lo[inside], n[inside], doc[inside]
-                    if not len(hit):
-                        continue
-                    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    who = np.repeat(doc, n) * len(block.ids) + items[k]
-                    pair = np.stack([places[k], np.repeat(hit - w.first[doc], n)], 1)
-                    order = np.argsort(who, kind="stable")
-                    cuts = np.flatnonzero(np.diff(who[order])) + 1
-                    for own in np.split(order, cuts):
-                        d, item = divmod(int(who[own[0]]), len(block.ids))
-                        size = len(block.words[item])
-                        reach = np.zeros(size + 1, int)
-                        np.add.at(reach, pair[own, 0], 1)
-                        np.add.at(reach, pair[own, 0] + width, -1)
-                        if (np.cumsum(reach)[:size] > 0).sum() < least * size:
-                            continue  # the tiles cannot cover more than the seeds do
-                        share = sum(t[2] for t in tiles(pair[own], width)) / size
-                        if share >= least:
-                            found.append((d, block.ids[item], share))
-                if found:
-                    ids = part["doc_id"].to_numpy()
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": [ids[d] for d, _, _ in found],
-                            "item_id": [i for _, i, _ in found],
-                            "coverage": [c for _, _, c in found],
-                        }
-                    )
-
-    return run
+def _found(block: Block, texts, least: float) -> list[tuple[int, int, float]]:
+    """(number of the text, item_id, coverage) of the items of a block that the tiles of a text cover."""
+    w = _words(texts)
+    found: list[tuple[int, int, float]] = []
+    for width, seeds, items, places, bitmap in block.index:
+        g = _grams(w.hashes, width)
+        hit = np.flatnonzero(bitmap[(g & U64(0xFFFFF)).astype(np.int64)])
+        lo = np.searchsorted(seeds, g[hit], "left")
+        n = np.searchsorted(seeds, g[hit], "right") - lo
+        hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
+        doc = np.searchsorted(w.first, hit, "right") - 1
+        inside = hit + width <= w.first[doc + 1]
+        hit, lo, n, doc = hit[inside], lo[inside], n[inside], doc[inside]
+        if not len(hit):
+            continue
+        k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        who = np.repeat(doc, n) * len(block.ids) + items[k]
+        pair = np.stack([places[k], np.repeat(hit - w.first[doc], n)], 1)
+        order = np.argsort(who, kind="stable")
+        cuts = np.flatnonzero(np.diff(who[order])) + 1
+        for own in np.split(order, cuts):
+            d, item = divmod(int(who[own[0]]), len(block.ids))
+            size = len(block.words[item])
+            reach = np.zeros(size + 1, int)
+            np.add.at(reach, pair[own, 0], 1)
+            np.add.at(reach, pair[own, 0] + width, -1)
+            if (np.cumsum(reach)[:size] > 0).sum() < least * size:
+                continue  # the tiles cannot cover more than the seeds do
+            share = sum(t[2] for t in tiles(pair[own], width)) / size
+            if share >= least:
+                found.append((d, block.ids[item], share))
+    return found
+
+
+def _blocks(benchmark: DataFrame, min_tile: int, block_bytes: int):
+    """Broadcast blocks of the benchmark, of about ``block_bytes`` of text each; items without id or text are left out."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-int(size) // block_bytes))
+    if n > 1:  # a row's number deals equal rows of one item apart
+        number = F.xxhash64("item_id", "text", F.monotonically_increasing_id())
+        bench = staged(bench.withColumn("block", F.pmod(number, F.lit(n))), "benchmark")
+    for b in range(n):
+        rows = (bench.where(F.col("block") == b) if n > 1 else bench).select("item_id", "text").collect()
+        rows = sorted(rows, key=lambda r: (r["item_id"], r["text"]))
+        yield spark.sparkContext.broadcast(Block([r["item_id"] for r in rows], [r["text"] for r in rows], min_tile))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, min_tile: int = 5, coverage: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
@@ -155,26 +158,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_tile: int = 5, coverage:
     pairs, repeated items their own pairs. Empty tables give an empty result.
     """
     bounded_batches(docs.sparkSession)
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // block_bytes))
-    if blocks > 1:
-        bench = staged(bench.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     out = None
-    for b in range(blocks):
-        items = (bench.where(F.col("block") == b) if blocks > 1 else bench).select("item_id", "text").collect()
-        items = sorted((r for r in items if r["item_id"] is not None), key=lambda r: (r["item_id"], r["text"]))
-        block = docs.sparkSession.sparkContext.broadcast(Block([r["item_id"] for r in items], [r["text"] for r in items], min_tile))
+    for block in _blocks(benchmark, min_tile, block_bytes):
 
         def search(frames, block=block):
-            yield from _search(block.value, coverage)(frames)
+            for pdf in frames:
+                for part in rows_in_blocks(iter([pdf]), "text"):
+                    if found := _found(block.value, part["text"], coverage):
+                        ids = part["doc_id"].to_numpy()
+                        who, items, shares = zip(*found, strict=True)
+                        yield pd.DataFrame({"doc_id": [ids[d] for d in who], "item_id": items, "coverage": shares})
 
         part = rows.mapInPandas(search, "doc_id long, item_id long, coverage double")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, min_tile: int = 5, coverage: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text no item of the benchmark is found in, as of ``leaks``.
+
+    Each row is judged where it stands: nothing is joined, so ids play no part.
+    Rows with a null text stay.
+    """
+    bounded_batches(docs.sparkSession)
+    for block in _blocks(benchmark, min_tile, block_bytes):
+        docs = docs.where(_clean(block, coverage)("text"))
+    return docs
+
+
+def _clean(block, least: float):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        out = []
+        for part in rows_in_blocks(iter([pd.DataFrame({"text": text})]), "text"):
+            ok = np.ones(len(part), bool)
+            ok[[d for d, _, _ in _found(block.value, part["text"], least)]] = False
+            out.append(ok)
+        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+
+    return clean
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """(doc_id, contaminated, coverage, items) for every row of ``docs``: the items found in a document of that id.
 

@@ -1,33 +1,36 @@
 """Language identification by prediction by partial matching over bytes.
 
-Every language has a context tree of orders 2, 1 and 0 with the counts of the
-training bytes. In a context with n occurrences of t different bytes, a byte
+Every language has a context tree of the orders ``order`` to 0 with the counts of
+the training bytes. In a context with n occurrences of t different bytes, a byte
 seen c times has probability c / (n + t); an unseen one escapes with t / (n + t)
-to the next shorter context, and from order 0 to the uniform distribution. The
+to the next shorter context, and from order 0 to the uniform distribution. In a
+context that was never seen nothing is said, and the next shorter one decides. The
 statistics are frozen after training, so the code length of (context, byte) is a
-constant, and the trees are written out as one table of exact code lengths for a
-language. A text costs one table look-up for a byte and language; the language
-with the shortest code wins, and the score is its posterior under equal priors.
-
-Every byte of the training texts is a symbol of its own. Bytes that no training
-text has share one, which is exact: they escape alike in all contexts. Where the
-table of all contexts of order 2 would be large, it holds the seen ones only.
+constant. A text costs the sum of its bytes' code lengths in each language; the
+language with the shortest code wins, and the score is its posterior under equal
+priors.
+
+The trees of all languages are compiled into one hash table per order. It maps a
+gram (a context and the byte after it) that some language has seen to its exact
+code lengths in all languages, escapes to any depth included, so most bytes need
+one look-up. For the others the table of contexts has the escapes, and the next
+shorter gram is looked up.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, encoded, rows_in_blocks
+from .common import U64, Table, bounded_batches, encoded, rows_in_blocks, staged
 
 UNDETERMINED = "und"
-#: Cells of the full tables of all languages together; beyond, order 2 is kept sparse.
-CELLS = 1 << 24
+#: What the code of an accepted text may take beyond its language's own texts: bits whatever its length, and bits a byte.
+SLACK, MORE = 64, 4.0
 
 
 def fold_of(column, folds: int = 5):
@@ -35,131 +38,173 @@ def fold_of(column, folds: int = 5):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
-@dataclass
-class Sparse:
-    """Code lengths of order 2: those of seen (context, byte), else of the escape and of order 1."""
+def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams of order + 1 bytes that end at each byte of the texts, where each text's begin); before a text stand line breaks."""
+    pad = b"\n" * order
+    b = np.frombuffer(pad + pad.join(texts), np.uint8).astype(U64)
+    n = max(len(b) - order, 0)
+    out = np.zeros(n, U64)
+    for k in range(order + 1):
+        out = (out << U64(8)) | b[k : k + n]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.concatenate([[0], np.cumsum(sizes + order)[:-1]]).astype(np.int64)
+    inside = np.zeros(n + 1, np.int8)
+    some = sizes > 0
+    inside[begin[some]] += 1
+    np.add.at(inside, (begin + sizes)[some], -1)
+    return out[np.cumsum(inside[:-1], dtype=np.int8) > 0], np.concatenate([[0], np.cumsum(sizes)])
 
-    width: int
-    codes: np.ndarray  # sorted
-    seen: np.ndarray  # float32, of each code
-    escape: np.ndarray  # float32[width**2], by context
-    lower: np.ndarray  # float32[width**2], by last byte and byte
 
-    def __getitem__(self, code: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        other = self.escape[code // self.width] + self.lower[code % self.width**2]
-        return np.where(self.codes[at] == code, self.seen[at], other)
+def _table(grams: np.ndarray) -> Table:
+    return Table(grams + U64(1), np.arange(len(grams), dtype=np.int32))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbols: np.ndarray  # byte -> symbol, uint32[256]
-    width: int
-    bits: list  # of each language float32[width**3] or Sparse
+    order: int
+    grams: list[Table] = field(default_factory=list)  # by order: grams that any language has seen
+    bits: list[np.ndarray] = field(default_factory=list)  # by order: their code lengths, grams x languages
+    contexts: list[Table] = field(default_factory=list)  # by order: contexts that any language has seen
+    escapes: list[np.ndarray] = field(default_factory=list)  # by order: the escapes' code lengths, contexts x languages
+    most: np.ndarray | None = None  # bits a byte of the languages' own texts at most
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits (texts x languages)."""
-        joined = b"\n\n" + b"\n\n".join(texts) + b"\n"
-        s = self.symbols[np.frombuffer(joined, np.uint8)]
-        w = np.uint32(self.width)
-        code = (s[:-2] * w + s[1:-1]) * w + s[2:]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
-        out = np.empty((len(texts), len(self.languages)))
-        for k, table in enumerate(self.bits):
-            sums = np.zeros(len(code) + 1)
-            np.cumsum(table[code], out=sums[1:], dtype=np.float64)
-            out[:, k] = sums[begin + sizes] - sums[begin]
+        grams, at = _grams(texts, self.order)
+        each = np.zeros((len(grams), len(self.languages)))
+        left = np.arange(len(grams))
+        for k in range(self.order, -1, -1):
+            if not len(left):
+                break
+            g = grams[left] & U64((1 << 8 * (k + 1)) - 1)
+            i = self.grams[k].get(g + U64(1))
+            hit = i >= 0
+            each[left[hit]] += self.bits[k][i[hit]]
+            left, g = left[~hit], g[~hit]
+            c = self.contexts[k].get((g >> U64(8)) + U64(1))
+            known = c >= 0
+            each[left[known]] += self.escapes[k][c[known]]
+        each[left] += 8.0
+        out = np.zeros((len(texts), len(self.languages)))
+        some = np.flatnonzero(np.diff(at))
+        if len(some):
+            out[some] = np.add.reduceat(each, at[:-1][some], axis=0)
         return out
 
-
-def _tally(frames):
-    for pdf in frames:
-        for lang, part in pdf.groupby("lang"):
-            for block in rows_in_blocks(iter([part]), "text"):
-                b = np.frombuffer(b"\n\n" + b"\n\n".join(encoded(block["text"])), np.uint8).astype(np.uint32)
-                code, n = np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "code": code.astype(np.int64), "n": n})
-
-
-def _shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of seen symbols and of the escape, in the contexts of all but the last axis."""
-    n_all, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-    return counts / np.maximum(n_all + kinds, 1), np.where(n_all > 0, kinds / np.maximum(n_all + kinds, 1), 1.0)
-
-
-def _compiled(lang_codes: list[tuple[str, np.ndarray, np.ndarray]], alphabet: int = 257) -> Model:
-    total = np.zeros(256)
-    for _, code, n in lang_codes:
-        total += np.bincount(code & 255, weights=n, minlength=256)
-    common = [int(b) for b in np.lexsort((np.arange(256), -total)) if total[b] > 0][: alphabet - 1]
-    symbols = np.zeros(256, np.uint32)
-    symbols[sorted(common)] = np.arange(1, len(common) + 1)
-    w = len(common) + 1
-    sparse = len(lang_codes) * w**3 > CELLS
-    bits = []
-    for _, code, n in lang_codes:
-        own = (symbols[code >> 16].astype(np.int64) * w + symbols[(code >> 8) & 255]) * w + symbols[code & 255]
-        codes, at = np.unique(own, return_inverse=True)
-        sums = np.bincount(at, weights=n)
-        c2 = np.bincount(codes % w**2, weights=sums, minlength=w**2).reshape(w, w)
-        p = np.full(w, 1 / 256)
-        for counts in (c2.sum(0), c2):
-            hit, escape = _shares(counts)
-            p = np.where(counts > 0, hit, escape * p)
-        context = codes // w
-        n_all, kinds = np.bincount(context, weights=sums, minlength=w**2), np.bincount(context, minlength=w**2)
-        seen = -np.log2(sums / (n_all + kinds)[context])
-        escape = -np.log2(np.where(n_all > 0, kinds / np.maximum(n_all + kinds, 1), 1.0))
-        table = Sparse(w, codes.astype(np.uint32), seen.astype(np.float32), escape.astype(np.float32), -np.log2(p).reshape(-1).astype(np.float32))
-        bits.append(table if sparse else table[np.arange(w**3, dtype=np.uint32)])
-    return Model([x[0] for x in lang_codes], symbols, w, bits)
-
-
-def fit(docs: DataFrame, *, max_docs: int = 4000, alphabet: int = 257) -> Model:
+    def judged(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(whether there is a letter, best language's number, its posterior, whether its own texts are coded as shortly) of each text."""
+        raw = encoded(texts)
+        letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+        if not self.languages:
+            return letters, np.zeros(len(raw), int), np.zeros(len(raw)), np.ones(len(raw), bool)
+        bits = self.code_lengths(raw)
+        best = bits.argmin(1)
+        least = bits[np.arange(len(raw)), best]
+        score = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
+        fits = least <= (self.most[best] + MORE) * np.fromiter(map(len, raw), float, len(raw)) + SLACK
+        return letters, best, score, fits
+
+
+def _compiled(lang_codes: list[tuple[str, np.ndarray, np.ndarray]], order: int) -> Model:
+    """From (language, grams of order + 1 bytes, their counts)."""
+    model = Model([x[0] for x in lang_codes], order)
+    n_lang = len(lang_codes)
+    lower = np.full((1, n_lang), 8.0)
+    shorter = np.zeros(1, U64)  # grams of the order below, sorted
+    for k in range(order + 1):
+        mask = U64((1 << 8 * (k + 1)) - 1)
+        own = []
+        for _, codes, n in lang_codes:
+            g, at = np.unique(codes & mask, return_inverse=True)
+            own.append((g, np.bincount(at, weights=n, minlength=len(g))))
+        grams = np.unique(np.concatenate([g for g, _ in own]))
+        contexts, context_of = np.unique(grams >> U64(8), return_inverse=True)
+        counts = np.zeros((len(grams), n_lang))
+        for i, (g, n) in enumerate(own):
+            counts[np.searchsorted(grams, g), i] = n
+        total, kinds = np.zeros((len(contexts), n_lang)), np.zeros((len(contexts), n_lang))
+        np.add.at(total, context_of, counts)
+        np.add.at(kinds, context_of, counts > 0)
+        both = np.maximum(total + kinds, 1)
+        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / both), 0.0)
+        suffix = np.searchsorted(shorter, grams & (mask >> U64(8))) if k else np.zeros(len(grams), np.int64)
+        with np.errstate(divide="ignore"):
+            bits = np.where(counts > 0, -np.log2(counts / both[context_of]), escape[context_of] + lower[suffix])
+        model.grams.append(_table(grams))
+        model.contexts.append(_table(contexts))
+        model.bits.append(bits)
+        model.escapes.append(escape)
+        lower, shorter = bits, grams
+    model.most = np.full(n_lang, 8.0)
+    return model
+
+
+def fit(docs: DataFrame, *, max_docs: int = 4000, max_bytes: int = 8 << 20, order: int = 4) -> Model:
     """Learn from (doc_id, text, lang) rows with text and lang.
 
-    At most about ``max_docs`` rows of a language are read, chosen by a hash of
-    their id (the bound of the sample); all others only add to the row counts.
-    Raises ValueError if no row has both text and lang.
+    At most about ``max_docs`` rows and ``max_bytes`` bytes of a language are read,
+    chosen by a hash of their id (the bound of the sample); all others only add to
+    the row counts. Rows without id are left out. Without a row to learn from, the
+    model has no language: it names none, with score 0.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        raise ValueError("no labelled rows to learn languages from")
+    rows = docs.where("doc_id is not null and text is not null and lang is not null")
+    rows = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
+    if not counts:
+        return Model([], order)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, max_docs / n)))])
-    chosen = rows.where(draw < rate[F.col("lang")]).select("lang", "text")
-    tally = chosen.mapInPandas(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = tally.toPandas()
-    return _compiled(
-        [(k, g["code"].to_numpy(np.int64), g["n"].to_numpy(float)) for k, g in sorted(got.groupby("lang"))], alphabet
-    )
+    rates = {r["lang"]: min(1.0, max_docs / r["n"], max_bytes / max(r["b"], 1)) for r in counts}
+    rate = F.create_map(*[x for k, v in sorted(rates.items()) for x in (F.lit(k), F.lit(v))])
+    sample = staged(rows.where(draw < rate[F.col("lang")]).select("lang", "text"), "languages")
+
+    def tally(frames):
+        for pdf in frames:
+            for lang, part in pdf.groupby("lang"):
+                for block in rows_in_blocks(iter([part]), "text"):
+                    code, n = np.unique(_grams(encoded(block["text"]), order)[0], return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "code": code.astype(np.int64), "n": n})
+
+    got = sample.mapInPandas(tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    if not len(got):
+        return Model([], order)
+    model = _compiled([(k, g["code"].to_numpy(np.int64).astype(U64), g["n"].to_numpy(float)) for k, g in sorted(got.groupby("lang"))], order)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # no more grams than the bounded sample has
+
+    def weigh(frames):
+        m = shared.value
+        for pdf in frames:
+            for part in rows_in_blocks(iter([pdf[pdf["lang"].isin(m.languages)]]), "text"):
+                raw = encoded(part["text"])
+                own = part["lang"].map(m.languages.index).to_numpy()
+                bits = m.code_lengths(raw)[np.arange(len(raw)), own]
+                rate = np.maximum(bits - SLACK, 0) / np.maximum(list(map(len, raw)), 1)
+                yield pd.DataFrame({"i": own, "most": rate}).groupby("i", as_index=False).max()
+
+    for r in sample.mapInPandas(weigh, "i int, most double").groupBy("i").agg(F.max("most").alias("most")).collect():
+        model.most[r["i"]] = r["most"]
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row; of its columns only doc_id and text are used.
 
-    ``und`` with score 0 for a null text or one without any letter. Ties go to
-    the first language in alphabetical order.
+    ``und`` with score 0 for a null text or one without any letter, and if the model
+    has no language. Ties go to the first language in alphabetical order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
         m = shared.value
+        names = np.array(m.languages or [UNDETERMINED], object)
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "text", 1 << 20):
-                bits = m.code_lengths(encoded(part["text"]))
-                best = bits.argmin(1)
-                gap = np.minimum(bits - bits.min(1, keepdims=True), 1000)
-                score = 1 / np.exp2(-gap).sum(1)
-                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in part["text"]], bool)
+            for part in rows_in_blocks(iter([pdf]), "text", 1 << 18):
+                letters, best, score, _ = m.judged(part["text"])
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"],
-                        "lang_pred": np.where(letters, np.array(m.languages, object)[best], UNDETERMINED),
+                        "lang_pred": np.where(letters, names[best], UNDETERMINED),
                         "score": np.where(letters, score, 0.0),
                     }
                 )
@@ -169,17 +214,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose text has a letter and whose language has a posterior of at least ``least``; all columns."""
+    """Rows of ``docs``, all columns, whose text has a letter and fits a language.
+
+    The language needs a posterior of at least ``least``, and the text a code of no
+    more than MORE bits a byte beyond what the language's own texts take at most.
+    A model without languages tells letters only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def keep(text: pd.Series) -> pd.Series:
-        out = []
-        for part in rows_in_blocks(iter([pd.DataFrame({"text": text})]), "text", 1 << 20):
-            bits = shared.value.code_lengths(encoded(part["text"]))
-            score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in part["text"]], bool)
-            out.append(letters & (score >= least))
+        m, out = shared.value, []
+        for part in rows_in_blocks(iter([pd.DataFrame({"text": text})]), "text", 1 << 18):
+            letters, _, score, fits = m.judged(part["text"])
+            out.append(letters & fits & ((score >= least) | (not m.languages)))
         return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
 
     return docs.where(keep("text"))
