@@ -19,18 +19,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those whose language is not told apart (posterior below one half)."""
+    """Rejects documents without letters, and those that no learned language fits: told apart badly, or coded far longer than its own texts."""
     docs = docs.select(*COLUMNS)
-    if docs.where("text is not null and lang is not null").isEmpty():
-        return docs  # nothing to learn from, nothing to reject
     return language_ppm.accepted(docs, language_ppm.fit(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, one row of it; rows without doc_id stay."""
-    docs = docs.select(*COLUMNS)
-    kept = minhash_forest.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Keeps one row of each group of near copies, that of the smallest doc_id; rows without doc_id come last.
+
+    Rows are told apart by a number of their own, so different texts of one doc_id
+    are different documents.
+    """
+    rows = staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = minhash_forest.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    members = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    kept = members.groupBy("component_id").agg(best.alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,21 +44,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A passage of more than 50 words is longer than that. Texts without repeats are unchanged.
     """
     out = suffix_dedup.repeated_substrings(docs.select(*COLUMNS), length=200, with_text=True, carry=["lang", "source", "n_chars"])
-    text = F.when(F.col("n_removed") == 0, F.col("original")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    return out.withColumn("text", F.coalesce(text, suffix_dedup.repaired("kept"))).select(
+    cut, raw = F.col("n_removed") > 0, F.col("kept").cast("string")
+    whole = F.when(cut, F.try_validate_utf8(raw)).otherwise(raw)
+    text = F.coalesce(whole, suffix_dedup.repaired(F.when(whole.isNull(), F.col("kept"))))
+    return out.withColumn("text", text).select(
         "doc_id",
         F.when(F.col("was_null"), None).otherwise(F.col("text")).alias("text"),
         "lang",
         "source",
-        F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars"),
+        F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
     )
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, whole or with its parts in another order."""
-    docs = docs.select(*COLUMNS)
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.uncontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
