@@ -65,13 +65,13 @@ def export_text(column: Column, kind: T.DataType) -> Column:
     Timestamps are ISO in UTC with the digits they hold; without zone, as stored;
     decimals have every digit of their scale; other values are left to the writer.
     """
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        zoned = isinstance(kind, T.TimestampType)
-        if zoned:
-            column = F.to_utc_timestamp(column, F.current_timezone())
-        text = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        text = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-        return F.concat(text, F.lit("Z")) if zoned else text
+    if isinstance(kind, T.TimestampNTZType):
+        return F.translate(column.cast("string"), " ", "T")
+    if isinstance(kind, T.TimestampType):
+        # from the instant itself: a detour over the session's wall clock loses its gaps and repeated hours
+        seconds = (F.unix_micros(column).cast("decimal(20,0)") / 1000000).cast("decimal(20,6)")
+        utc = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+        return F.concat(F.translate(utc.cast("string"), " ", "T"), F.lit("Z"))
     if isinstance(kind, T.DecimalType):
         plain = "0." + "0" * kind.scale if kind.scale else "0"
         return F.call_function("format_number", column, F.lit(plain))

@@ -105,22 +105,31 @@ def load_checks(entries) -> list[Check]:
     return out
 
 
-def evaluate(df: DataFrame, checks: list[Check]) -> DataFrame:
-    """(criticality, name, message, failed): rows that fail each check, in one job. A check on a column the batch lacks counts every row as skipped."""
+def evaluate(df: DataFrame, checks: list[Check], by: str | None = None) -> DataFrame:
+    """([by,] criticality, name, message, failed): rows that fail each check, in one job.
+
+    With ``by`` every value of that column is a batch of its own. A check on a
+    column the batch lacks counts every row as skipped.
+    """
     failures = []
     for c in checks:
         gone = [x for x in columns_of(c.arguments) if x not in df.columns]
         says = lambda m, c=c: F.struct(F.lit(c.criticality).alias("criticality"), F.lit(c.label).alias("name"), F.lit(m).alias("message"))
         if gone:
             failures.append(says(f"skipped: no column {', '.join(gone)}"))
-        else:
-            failures.append(F.when(RULES[c.function](**c.arguments), says(f"{c.function} failed")))
+            continue
+        arguments = dict(c.arguments)
+        if by and c.function == "is_unique":
+            arguments["columns"] = [*columns_of(arguments), by]
+        failures.append(F.when(RULES[c.function](**arguments), says(f"{c.function} failed")))
+    batch = [q(by)] if by else []
     if not failures:
-        return df.sparkSession.createDataFrame([], "criticality string, name string, message string, failed long")
+        return df.select(*batch).limit(0).selectExpr("*", *[f"cast(null as {t}) as {n}" for n, t in (("criticality", "string"), ("name", "string"), ("message", "string"), ("failed", "long"))])
     # windows of a check are computed in a projection of their own
-    judged = df.select(*[f.alias(f"f{i}") for i, f in enumerate(failures)])
+    judged = df.select(*batch, *[f.alias(f"f{i}") for i, f in enumerate(failures)])
+    names = [f"f{i}" for i in range(len(failures))]
     return (
-        judged.select(F.explode(F.filter(F.array(*judged.columns), lambda x: x.isNotNull())).alias("f"))
-        .groupBy("f.criticality", "f.name", "f.message")
+        judged.select(*batch, F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())).alias("f"))
+        .groupBy(*batch, "f.criticality", "f.name", "f.message")
         .agg(F.count("*").alias("failed"))
     )

@@ -25,6 +25,10 @@ class AmbiguousMerge(Exception):
     """Several incoming rows would change one stored row."""
 
 
+class IncompatibleColumns(ValueError):
+    """A write would change a column's type to one that does not hold the stored values."""
+
+
 #: Policies that are always fatal.
 PLATFORM = (
     "unstamped_file anchor_column_missing anchor_unparseable anchor_not_stamped anchor_wrong_type cast_silent_null "

@@ -8,6 +8,7 @@ that are new.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import CURRENT, DELETED, END, EXPORT_DATE, HISTORY, RECORD_HASH, START, is_own
@@ -17,6 +18,10 @@ from .errors import AmbiguousMerge, PlatformViolation
 from .shape import q
 
 
+#: What a replay tells of its versions beside them; counted when a table is written, not stored.
+NEW, RETIRED = "__mark_new", "__mark_retired"
+
+
 def require_no_new_columns(target: DataFrame, batch: DataFrame, evolve: bool) -> None:
     new = [c for c in batch.columns if c not in target.columns]
     if new and not evolve:
@@ -141,65 +146,114 @@ def current_state(target: DataFrame) -> DataFrame:
     return target.where(F.col(CURRENT) == "Y").drop(*[c for c in target.columns if is_own(c)])
 
 
-def replayed(batch: DataFrame, keys: list[str], time: Time, deletes: DataFrame | None = None, delete_time: Time | None = None, stored: DataFrame | None = None) -> DataFrame:
-    """All snapshots of a feed folded into the history in one shuffle.
+def replayed(
+    batch: DataFrame, keys: list[str], time: Time, deletes: DataFrame | None = None, delete_time: Time | None = None, stored: DataFrame | None = None, delete_keys: list[str] | None = None, marks: bool = False
+) -> DataFrame:
+    """All snapshots of a feed in the history ``stored``, with one shuffle of both.
+
+    Per key the events of all exports come in order, updates before deletes, and go
+    through the rules of the snapshot-by-snapshot loop: a row is skipped if a current
+    version has its hash, its event time or a newer one; else the current,
+    undeleted, older version ends at its event time and it opens a version. A
+    delete flags all versions and ends the current one.
+
+    Where the event times of a key grow from export to export (the usual case)
+    windows over its events say all that: a row opens a version if the event before
+    it is a delete or has another hash, and a version ends at the next event that
+    counts. A key of any number of events is sorted, never gathered. Only keys with
+    late rows are folded event by event; their events must fit a row.
 
-    Per key the events of all exports, in order (updates before deletes), go through
-    the same rules as the snapshot-by-snapshot loop, in an array fold: a row is
-    skipped if a current version has its hash or its event time or a newer one;
-    else current, undeleted, older versions end at its event time and it opens a
-    version. A delete flags all versions and ends the current one. A key's events
-    must fit a row; the batch must be deduplicated per snapshot. Null keys match
-    nothing, so each of their rows is a version of its own.
+    The batch must be deduplicated per snapshot. Null keys match nothing, so each of
+    their rows is a version of its own. With ``marks`` two more columns tell new
+    versions and ones that a delete has ended.
     """
+    if stored is not None:
+        more = [f for f in stored.schema if f.name not in batch.columns and f.name not in HISTORY]
+        batch = batch.withColumns({f.name: F.lit(None).cast(f.dataType) for f in more})
     columns = [c for c in batch.columns if c not in keys and c not in HISTORY]
-    body = F.struct(*[q(c) for c in columns])
-    kind = batch.select(body.alias("x")).schema["x"].dataType.simpleString()
-    lone = F.lit(None).cast("string")
-    null_key = F.expr(" or ".join(f"`{k}` is null" for k in keys))
-    alone = F.when(null_key, F.expr("uuid()")).otherwise(lone)
-    event = lambda stamp, order, at, row: F.struct(stamp.alias("x"), F.lit(order).alias("o"), at.alias("at"), row.alias("row"))
-    frames = batch.select(*[q(k) for k in keys], alone.alias("__lone"), event(F.col(EXPORT_DATE).cast("timestamp"), 0, time.of(batch), body).alias("e"))
+    no_key = lambda names: F.expr(" or ".join(f"`{k}` is null" for k in names))
+    no_time, no = F.lit(None).cast("timestamp"), F.lit(False)
+
+    def events(df, own_keys, x, order, at, end=no_time, cur="Y", gone="N", filled=True):
+        flag = lambda v: F.lit(v) if isinstance(v, str) else v
+        named = [q(k).cast(batch.schema[t].dataType).alias(t) for k, t in zip(own_keys, keys, strict=True)]
+        body = [(q(c) if filled and c in df.columns else F.lit(None)).cast(batch.schema[c].dataType).alias(c) for c in columns]
+        own = [x.cast("timestamp").alias("__x"), order.cast("int").alias("__o"), at.alias("__at"), end.alias("__e"), flag(cur).alias("__cur"), flag(gone).alias("__del")]
+        return df.where(~no_key(own_keys)).select(*named, *body, *own)
+
+    every = events(batch, keys, F.col(EXPORT_DATE), F.lit(0), time.of(batch))
     if deletes is not None:
-        nothing = F.lit(None).cast(kind)
-        frames = frames.unionByName(deletes.select(*[q(k) for k in keys], lone.alias("__lone"), event(F.col(EXPORT_DATE).cast("timestamp"), 1, delete_time.of(deletes), nothing).alias("e")))
-    version = f"struct<row:{kind},start:timestamp,`end`:timestamp,cur:string,del:string>"
-    grouped = frames.groupBy(*[q(k) for k in keys], "__lone").agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("es"))
+        every = every.unionByName(events(deletes, delete_keys or keys, F.col(EXPORT_DATE), F.lit(1), delete_time.of(deletes), filled=False))
+    if stored is not None:
+        order = F.when(F.col(CURRENT) == "Y", -1).otherwise(-2)
+        every = every.unionByName(events(stored, keys, no_time, order, F.col(START), F.col(END), F.col(CURRENT), F.col(DELETED)))
+
+    x, o, at, h = F.col("__x"), F.col("__o"), F.col("__at"), F.col(RECORD_HASH)
+    key = W.partitionBy(*[q(k) for k in keys])
+    in_order = key.orderBy("__x", "__o")
+    newest_so_far = F.max(F.when(o.isin(-1, 0), at)).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    late = (o == 0) & (at.isNull() | F.coalesce(at <= newest_so_far, no))
+    odd = (o == -1) & ((F.col("__del") != "N") | F.col("__e").isNotNull())
+    before = F.lag(o).over(in_order)
+    says = (o != 0) | before.isNull() | before.isin(1, -2) | (F.lag(h).over(in_order) != h)
+    marked = every.withColumns({"__late": late | odd, "__says": says})
+    marked = marked.withColumn("__late", F.max("__late").over(key) | (F.count(F.when(o == -1, 1)).over(key) > 1))
+
+    counts = marked.where("not __late and __says")
+    counts = counts.withColumns({"__next": F.lead(o).over(in_order), "__until": F.lead(at).over(in_order), "__gone": F.max(F.when(o == 1, x)).over(key)}).where("__o <> 1")
+    ended = (o >= -1) & F.col("__next").isNotNull()
+    plain = counts.select(
+        *[q(c) for c in [*keys, *columns]],
+        at.alias(START),
+        F.when(ended, F.col("__until")).otherwise(F.col("__e")).alias(END),
+        F.when(ended, F.lit("N")).otherwise(F.col("__cur")).alias(CURRENT),
+        F.when(F.col("__gone").isNotNull() & ((o < 0) | (x <= F.col("__gone"))), F.lit("Y")).otherwise(F.col("__del")).alias(DELETED),
+        (o == 0).alias(NEW),
+        F.coalesce(ended & (F.col("__next") == 1), no).alias(RETIRED),
+    )
+    folded = _folded(marked.where("__late"), keys, columns)
+    out = plain.unionByName(folded)
+    out = out.unionByName(opened(batch.where(no_key(keys)), time).withColumns({NEW: F.lit(True), RETIRED: no}))
     if stored is not None:
-        row = F.struct(*[(q(c) if c in stored.columns else F.lit(None)).alias(c) for c in columns]).cast(kind)
-        old = stored.where(~null_key).select(*[q(k) for k in keys], F.struct(row.alias("row"), F.col(START).alias("start"), F.col(END).alias("end"), F.col(CURRENT).alias("cur"), F.col(DELETED).alias("del")).cast(version).alias("v"))
-        old = old.groupBy(*[q(k) for k in keys]).agg(F.collect_list("v").alias("vs"))
-        grouped = grouped.join(old, keys, "left").withColumn("vs", F.coalesce("vs", F.array().cast(f"array<{version}>")))
-        untouched = stored.where(null_key).unionByName(stored.where(~null_key).join(grouped.select(*keys), keys, "left_anti"))
-    else:
-        grouped = grouped.withColumn("vs", F.array().cast(f"array<{version}>"))
-        untouched = None
+        out = out.unionByName(stored.where(no_key(keys)).withColumns({NEW: no, RETIRED: no}), allowMissingColumns=True)
+    return out.select(*batch.columns, *HISTORY, *[NEW, RETIRED] * marks)
+
+
+def _folded(events: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Versions of keys with late rows: their events applied one after another."""
+    events = events.select(*[q(k) for k in keys], "__x", "__o", "__at", "__e", "__cur", "__del", F.struct(*[q(c) for c in columns]).alias("row"))
+    kind = events.schema["row"].dataType.simpleString()
+    version = f"struct<row:{kind},start:timestamp,`end`:timestamp,cur:string,del:string,new:boolean,retired:boolean>"
+    event = F.struct(F.col("__x").alias("x"), F.col("__o").alias("o"), F.col("__at").alias("at"), "row")
+    known = F.struct("row", F.col("__at").alias("start"), F.col("__e").alias("end"), F.col("__cur").alias("cur"), F.col("__del").alias("del"), F.lit(False).alias("new"), F.lit(False).alias("retired")).cast(version)
+    grouped = events.groupBy(*[q(k) for k in keys]).agg(
+        F.array_sort(F.collect_list(F.when(F.col("__o") >= 0, event)), lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(a["o"] - b["o"])).alias("es"),
+        F.collect_list(F.when(F.col("__o") < 0, known)).cast(f"array<{version}>").alias("vs"),
+    )
     h = RECORD_HASH
 
-    def make(row, start, end, cur, gone):
-        return F.struct(row.alias("row"), start.alias("start"), end.alias("end"), cur.alias("cur"), gone.alias("del"))
+    def make(row, start, end, cur, gone, new, retired):
+        return F.struct(row.alias("row"), start.alias("start"), end.alias("end"), cur.alias("cur"), gone.alias("del"), new.alias("new"), retired.alias("retired"))
 
     def step(acc, e):
-        is_update = e["o"] == 0
         known = F.exists(acc, lambda v: (v["cur"] == "Y") & ((v["row"][h] == e["row"][h]) | (v["start"] >= e["at"])))
 
         def closed(v):
             old = (v["cur"] == "Y") & (v["del"] == "N") & (v["start"] < e["at"])
-            return make(v["row"], v["start"], F.when(old, e["at"]).otherwise(v["end"]), F.when(old, F.lit("N")).otherwise(v["cur"]), v["del"])
+            return make(v["row"], v["start"], F.when(old, e["at"]).otherwise(v["end"]), F.when(old, F.lit("N")).otherwise(v["cur"]), v["del"], v["new"], v["retired"])
 
-        fresh = F.array(make(e["row"], e["at"], F.lit(None).cast("timestamp"), F.lit("Y"), F.lit("N")))
+        fresh = F.array(make(e["row"], e["at"], F.lit(None).cast("timestamp"), F.lit("Y"), F.lit("N"), F.lit(True), F.lit(False)))
         updated = F.when(known, acc).otherwise(F.concat(F.transform(acc, closed), fresh))
 
         def deleted(v):
             open_ = (v["cur"] == "Y") & v["end"].isNull()
-            return make(v["row"], v["start"], F.when(open_, e["at"]).otherwise(v["end"]), F.lit("N"), F.lit("Y"))
+            return make(v["row"], v["start"], F.when(open_, e["at"]).otherwise(v["end"]), F.lit("N"), F.lit("Y"), v["new"], v["retired"] | (v["cur"] == "Y"))
 
-        return F.when(is_update, updated).otherwise(F.transform(acc, deleted))
+        return F.when(e["o"] == 0, updated).otherwise(F.transform(acc, deleted))
 
-    folded = grouped.select(*[q(k) for k in keys], F.explode(F.aggregate("es", F.col("vs"), step)).alias("v"))
-    out = folded.select(
+    exploded = grouped.select(*[q(k) for k in keys], F.explode(F.aggregate("es", F.col("vs"), step)).alias("v"))
+    return exploded.select(
         *[q(k) for k in keys],
         *[F.col(f"v.row.`{c}`").alias(c) for c in columns],
-        F.col("v.start").alias(START), F.col("v.end").alias(END), F.col("v.cur").alias(CURRENT), F.col("v.del").alias(DELETED),
-    ).select(*batch.columns, *HISTORY)
-    return out if untouched is None else out.unionByName(untouched, allowMissingColumns=True)
+        F.col("v.start").alias(START), F.col("v.end").alias(END), F.col("v.cur").alias(CURRENT), F.col("v.del").alias(DELETED), F.col("v.new").alias(NEW), F.col("v.retired").alias(RETIRED),
+    )

@@ -9,11 +9,11 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CURRENT, MODIFIED
+from ..functions.columns import CURRENT, EXPORT_DATE, MODIFIED
 from ..operators import batch as B
 from ..operators import merges as M
 from ..operators import shape as S
-from ..operators.errors import PlatformViolation, PolicyViolation
+from ..operators.errors import ConfigError, PlatformViolation, PolicyViolation
 from ..sources.files import READERS, KnownColumns, inbound_glob
 from ..sources.store import Files, Store, Table
 from ..sources.tables import TableReader
@@ -61,6 +61,9 @@ def build_context(spark: SparkSession, warehouse: str, flat: dict, echo: bool =
     store = Store(spark, warehouse)
     catalog = f"{config.catalog}_{config.env}"
     out = config.output
+    home = f"{warehouse.rstrip('/')}/{catalog}/"
+    if not f"{config.metadata_path.rstrip('/')}/".startswith(home):
+        raise ConfigError([f"metadata_path must lie below {home}, with the tables whose reading it remembers"])
     audit = Audit(store, config.env, identity, (catalog, out.schema_name, out.table), echo)
     if absent:
         audit.log("WARNING", "run_identity_missing", "start", description=", ".join(absent))
@@ -93,12 +96,12 @@ def prepare(ctx: Context, df: DataFrame) -> DataFrame:
     return df
 
 
-def gate(ctx: Context, df: DataFrame) -> None:
-    """Counts failing rows of every check in one job; an error stops the batch before anything is written."""
+def gate(ctx: Context, df: DataFrame, by: str | None = None) -> None:
+    """Counts failing rows of every check in one job, of each snapshot by itself with ``by``; an error stops the batch before anything is written."""
     if not ctx.checks:
         return
-    found = B.evaluate(df, ctx.checks).collect()
-    for r in found:
+    found = B.evaluate(df, ctx.checks, by).collect()
+    for r in sorted(found, key=lambda r: (str(r[by]) if by else "", r["name"])):
         ctx.audit.log("ERROR" if r["criticality"] == "error" else "WARNING", r["name"], "policies", total=r["failed"], description=r["message"])
     if not found:
         ctx.audit.log("INFO", "policies_passed", "policies")
@@ -106,7 +109,7 @@ def gate(ctx: Context, df: DataFrame) -> None:
         raise PolicyViolation("; ".join(f"{r['name']}: {r['failed']} rows ({r['message']})" for r in bad))
 
 
-def gate_and_write(ctx: Context, df: DataFrame, batch_id: str | None = None, deletes: DataFrame | None = None) -> None:
+def gate_and_write(ctx: Context, df: DataFrame, batch_id: tuple[str, int] | None = None, deletes: DataFrame | None = None) -> None:
     out, need = ctx.config.output, C.VERBS[ctx.config.output.verb]
     if batch_id and ctx.target.exists() and ctx.target.has_batch(batch_id):
         return  # committed before, but not yet remembered by the stream
@@ -144,6 +147,23 @@ def _target(ctx: Context, df: DataFrame) -> DataFrame | None:
     return target
 
 
+def _written(ctx: Context) -> dict:
+    """Counts the rows that this run wrote, as it writes them."""
+    return {"new": F.col(MODIFIED) == F.lit(ctx.read_time).cast("timestamp")}
+
+
+def _touched(ctx: Context, target: DataFrame | None, *batches: tuple[DataFrame, list[str]]) -> tuple[DataFrame | None, list[dict]]:
+    """The part of the target that a merge must rewrite, and the files that stay."""
+    if target is None:
+        return None, []
+    keys = ctx.config.output.keys
+    wanted = None
+    for df, own in batches:
+        part = df.select(*[S.q(o).alias(k) for k, o in zip(keys, own, strict=True)])
+        wanted = part if wanted is None else wanted.unionByName(part)
+    return ctx.target.touched(wanted, keys)
+
+
 def write_append(ctx, df, batch_id, deletes):
     _target(ctx, df)
     c = ctx.target.write(df, "APPEND", batch=batch_id)
@@ -170,64 +190,90 @@ def write_full(ctx, df, batch_id, deletes):
 def write_upsert(ctx, df, batch_id, deletes):
     out, target = ctx.config.output, _target(ctx, df)
     M.require_single_match(df, out.keys)
-    new = M.upsert(target, df, out.keys, out.event_time.time() if out.event_time.column else None)
-    c = ctx.target.write(new, "MERGE" if target is not None else "CREATE", batch=batch_id)
-    written = ctx.target.read(c.version).where(F.col(MODIFIED) == F.lit(ctx.read_time).cast("timestamp")).count()
-    ctx.audit.kpi("rows_upserted", written)
-    if written:
+    met, keep = _touched(ctx, target, (df, out.keys))
+    new = M.upsert(met, df, out.keys, out.event_time.time() if out.event_time.column else None)
+    c = ctx.target.write(new, "MERGE" if target is not None else "CREATE", batch=batch_id, counted=_written(ctx), keep=keep)
+    ctx.audit.kpi("rows_upserted", c.metrics["new"])
+    if c.metrics["new"]:
         ctx.audit.step(df, "upsert", "MERGE", c.version)
 
 
-def _history(ctx, df, batch_id, expire_at=None):
+def write_scd2(ctx, df, batch_id, deletes):
     out, target, time = ctx.config.output, _target(ctx, df), ctx.config.output.event_time.time()
     if df.isEmpty() and target is not None:
-        return None
-    M.require_single_match(df, out.keys)
-    new = M.scd2(target, df, out.keys, time, expire_at)
-    before = target.count() if target is not None else 0
-    c = ctx.target.write(new, "MERGE" if target is not None else "CREATE", batch=batch_id)
-    ctx.audit.kpi("rows_historized", c.metrics["rows_written"] - before)
-    return c
-
-
-def write_scd2(ctx, df, batch_id, deletes):
-    if c := _history(ctx, df, batch_id):
-        ctx.audit.step(df, "scd2", "MERGE", c.version)
-    else:
         ctx.audit.log("INFO", "scd2_skipped_empty", "output")
+        return
+    M.require_single_match(df, out.keys)
+    met, keep = _touched(ctx, target, (df, out.keys))
+    c = ctx.target.write(M.scd2(met, df, out.keys, time), "MERGE" if target is not None else "CREATE", batch=batch_id, counted=_written(ctx), keep=keep)
+    ctx.audit.kpi("rows_historized", c.metrics["new"])
+    ctx.audit.step(df, "scd2", "MERGE", c.version)
 
 
 def write_complete_delta(ctx, df, batch_id, deletes):
-    """Snapshot by snapshot: updates, then deletes; every snapshot passes the gate before the first merge."""
-    out = ctx.config.output
+    """All snapshots, updates before deletes, in one commit; every snapshot passes the gate before.
+
+    Step records follow the commit, so a run that dies before it records nothing,
+    and one that dies after it has changed all that its records say.
+    """
+    out, time = ctx.config.output, ctx.config.output.event_time.time()
     d_time = out.deletes.event_time.time() if deletes is not None else None
     if deletes is not None:
         B.require_valid_times(deletes, {"output.deletes.event_time": d_time})
         deletes = deletes.persist()
-    full = out.snapshot_scope == "full"
-    stamps = B.snapshots(df, deletes)
-    if full and (newest := B.newest_export(df)) is not None:
-        stamps = [s for s in stamps if s >= newest]
-    for s in stamps:
-        gate(ctx, B.of_export(df, s))
-    if not stamps and not ctx.target.exists():
-        M.require_creatable(df)
-        ctx.target.create(M.opened(df, out.event_time.time()).schema)
-    for s in stamps:
-        rows = B.of_export(df, s)
-        done = _history(ctx, rows, batch_id, s if full and not rows.isEmpty() else None)
-        gone = B.of_export(deletes, s) if deletes is not None else None
-        if done:
-            ctx.audit.step(rows, "complete_delta", "REPLACE" if full else "MERGE", done.version)
-        if gone is not None and not gone.isEmpty():
-            M.require_single_match(gone, out.deletes.keys)
-            target = ctx.target.read()
-            c = ctx.target.write(M.soft_delete(target, gone, out.keys, out.deletes.keys, d_time), "MERGE")
-            ended = target.where(F.col(CURRENT) == "Y").count() - ctx.target.read().where(F.col(CURRENT) == "Y").count()
-            ctx.audit.kpi("rows_retired", ended)
-            ctx.audit.step(gone, "complete_delta", "MERGE", c.version, "deletes")
-    if deletes is not None:
-        deletes.unpersist()
+    try:
+        full, newest = out.snapshot_scope == "full", None
+        if full and (newest := B.newest_export(df)) is not None:
+            df = B.of_export(df, newest)
+            deletes = deletes.where(F.col(EXPORT_DATE) >= F.lit(newest)) if deletes is not None else None
+        stamps = B.snapshots(df, deletes)
+        ctx.audit.log("INFO", "snapshots_to_replay", "verb", total=len(stamps))
+        gate(ctx, df, EXPORT_DATE)
+        if not stamps:
+            if not ctx.target.exists():
+                M.require_creatable(df)
+                ctx.target.create(M.opened(df, time).schema)
+            return
+        target = _target(ctx, df)
+        M.require_single_match(df, [*out.keys, EXPORT_DATE])
+        if deletes is not None:
+            M.require_single_match(deletes, [*out.deletes.keys, EXPORT_DATE])
+        if full:
+            keep = []  # keys that the snapshot omits are anywhere
+            new = _full_scope(ctx, target, df, newest, deletes, d_time, stamps)
+        else:
+            parts = [(df, out.keys)] + ([(deletes, out.deletes.keys)] if deletes is not None else [])
+            met, keep = _touched(ctx, target, *parts)
+            new = M.replayed(df, out.keys, time, deletes, d_time, met, out.deletes.keys or None, marks=True)
+        c = ctx.target.write(
+            new, "MERGE" if target is not None else "CREATE", batch=batch_id, counted={"new": F.col(M.NEW), "retired": F.col(M.RETIRED)}, keep=keep
+        )
+        ctx.audit.kpi("rows_historized", c.metrics["new"])
+        if c.metrics["new"] or full and newest is not None:
+            ctx.audit.step(df, "complete_delta", "REPLACE" if full else "MERGE", c.version)
+        if deletes is not None:
+            ctx.audit.kpi("rows_retired", c.metrics["retired"])
+            if c.metrics["retired"]:
+                ctx.audit.step(deletes, "complete_delta", "MERGE", c.version, "deletes")
+    finally:
+        if deletes is not None:
+            deletes.unpersist()
+
+
+def _full_scope(ctx, target, df, newest, deletes, d_time, stamps) -> DataFrame:
+    """The newest snapshot against the whole target, then the deletes from it on."""
+    out, time, none = ctx.config.output, ctx.config.output.event_time.time(), F.lit(False)
+    wrote = F.col(MODIFIED) == F.lit(ctx.read_time).cast("timestamp")
+    if newest is not None:
+        new = M.scd2(target, df, out.keys, time, newest if target is not None else None)
+    else:
+        new = target if target is not None else M.opened(df, time)
+    new = new.withColumns({M.NEW: wrote, M.RETIRED: none})
+    for s in stamps if deletes is not None else []:
+        was = new.withColumn("__mark_was", F.col(CURRENT))
+        new = M.soft_delete(was, B.of_export(deletes, s), out.keys, out.deletes.keys, d_time)
+        new = new.withColumn(M.RETIRED, F.col(M.RETIRED) | ((F.col("__mark_was") == "Y") & (F.col(CURRENT) == "N"))).drop("__mark_was")
+    return new
 
 
 WRITERS = {"append": write_append, "full": write_full, "upsert": write_upsert, "scd2": write_scd2, "complete_delta": write_complete_delta}
@@ -247,9 +293,9 @@ def ingest(ctx: Context) -> None:
         glob = inbound_glob(s.path, s.directory, s.file_extension or s.origin)
         known = KnownColumns(ctx.spark, f"{ctx.state}/schema", ctx.config.schema_evolution)
 
-        def handle(paths: list[str], batch_id: int) -> None:
+        def handle(paths: list[str], batch_id: tuple[str, int]) -> None:
             df = READERS[s.origin](ctx.spark, paths, vars(s.options), s.snapshot_time_pattern)
-            gate_and_write(ctx, known.apply(df), f"{ctx.state}#{batch_id}")
+            gate_and_write(ctx, known.apply(df), batch_id)
 
         drain(ctx.spark, glob, f"{ctx.state}/checkpoint", handle)
         return
@@ -261,7 +307,7 @@ def ingest(ctx: Context) -> None:
     deletes = reader.read(f"{catalog}.{s.schema_name}.{s.deletes_table}")[0] if s.deletes_table else None
     if ctx.strategy == "checkpoint" and version == last:
         return
-    gate_and_write(ctx, df, f"{name}@{version}" if version is not None else None, deletes)
+    gate_and_write(ctx, df, (f"{ctx.state}<{name}", version) if version is not None else None, deletes)
     if version is not None:
         Files(ctx.spark, ctx.state).publish(f"{folder}/{version}", "")
 
@@ -287,13 +333,9 @@ def run_task(spark: SparkSession, warehouse: str, flat: dict, echo: bool = False
 
 
 def parse_argv(argv: list[str]) -> dict[str, str]:
-    out = {}
-    for a in argv:
-        key, eq, value = a.removeprefix("--").partition("=")
-        if not a.startswith("--") or not eq:
-            raise SystemExit(f"not a --key=value argument: {a}")
-        out[key] = value
-    return out
+    """Settings from ``--key=value`` arguments; whatever else a launcher passes is not ours."""
+    pairs = (a.removeprefix("--").partition("=") for a in argv if a.startswith("--"))
+    return {key: value for key, eq, value in pairs if eq and key}
 
 
 def main() -> None:

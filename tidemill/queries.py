@@ -15,6 +15,7 @@ from .functions.values import export_stamp, export_text, record_hash
 from .operators import batch as B
 from .operators import merges as M
 from .operators import shape as S
+from .operators.errors import PlatformViolation
 from .plans import audit, layout
 from .sources.store import Store
 from .sources.tables import after, delta_rows, stamp_table_read
@@ -38,8 +39,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemill-queries"
+    """A fresh folder that all executors see: below the checkpoint folder, which only a session on one machine may lack."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/tidemill-queries"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -74,17 +79,19 @@ def history(df: DataFrame) -> DataFrame:
 def _stamped_names(pattern: str) -> str:
     return f"""
         select o_orderkey, try_strptime(nullif(regexp_extract(name, '{pattern}', 1), ''), '%Y%m%d%H%M%S') as stamped from (
-            select o_orderkey, case o_orderkey % 4
-                when 0 then 'ORDERS_' || strftime(o_orderdate, '%Y%m%d') || '103000.csv'
-                when 1 then 'ORDERS_20241315103000.csv'
-                when 2 then 'ORDERS_2024011510300099.csv'
+            select o_orderkey, case o_orderkey % 5
+                when 0 then strftime(o_orderdate, '%Y%m%d') || '235959'
+                when 1 then 'part-' || strftime(o_orderdate, '%Y%m%d') || '000000-v2.json'
+                when 2 then 'no_leap_20010229000000.csv'
+                when 3 then 'touched_9' || strftime(o_orderdate, '%Y%m%d') || '000000.csv'
                 else 'ORDERS.csv' end as name from orders)"""
 
 
 @query(_stamped_names("(?:^|[^0-9])([0-9]{14})(?:[^0-9]|$)"))
 def export_stamp_datetime(spark, d):
-    name = F.expr("""case o_orderkey % 4 when 0 then concat('ORDERS_', date_format(o_orderdate, 'yyyyMMdd'), '103000.csv')
-        when 1 then 'ORDERS_20241315103000.csv' when 2 then 'ORDERS_2024011510300099.csv' else 'ORDERS.csv' end""")
+    name = F.expr("""case o_orderkey % 5 when 0 then concat(date_format(o_orderdate, 'yyyyMMdd'), '235959')
+        when 1 then concat('part-', date_format(o_orderdate, 'yyyyMMdd'), '000000-v2.json') when 2 then 'no_leap_20010229000000.csv'
+        when 3 then concat('touched_9', date_format(o_orderdate, 'yyyyMMdd'), '000000.csv') else 'ORDERS.csv' end""")
     path = F.concat(F.lit("/in/20240101000000/"), name)
     return table(spark, d, "orders").select("o_orderkey", export_stamp(path).cast("timestamp_ntz").alias("stamped"))
 
@@ -93,7 +100,7 @@ def export_stamp_datetime(spark, d):
     select o_orderkey, case when o_orderkey % 2 = 0 then cast(date_trunc('day', o_orderdate) + interval '10:30:05' hour to second as timestamp) end as stamped
     from (select o_orderkey, o_orderdate from orders)""".replace("interval '10:30:05' hour to second", "interval 37805 second"))
 def export_stamp_iso(spark, d):
-    name = F.expr("case when o_orderkey % 2 = 0 then concat('ORDERS_', date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:30:05.csv') else 'ORDERS_20240115103000.csv' end")
+    name = F.expr("case when o_orderkey % 2 = 0 then concat('ORDERS_', date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:30:05.csv') else 'ORDERS_20230704120000.csv' end")
     return table(spark, d, "orders").select("o_orderkey", export_stamp(name, "iso").cast("timestamp_ntz").alias("stamped"))
 
 
@@ -168,14 +175,14 @@ def typed_cast(spark, d):
     return S.cast_columns(_untyped(spark, d), CASTS, validate=False)
 
 
-@query(f"""select 'N' as column_name, count(*) as lost from {UNTYPED_SQL} where trim(n) <> '' and try_cast(n as integer) is null
-    union all select 'D', count(*) from {UNTYPED_SQL} where try_strptime(dd, '%Y-%m-%d') is null""")
+@query(f"""select 'N' as column_name, any_value(n) as example, (select count(*) from (values (1), (2)) t(x)) as columns_lost from {UNTYPED_SQL} where trim(n) <> '' and try_cast(n as integer) is null
+    union all select 'D', any_value(dd), 2 from {UNTYPED_SQL} where try_strptime(dd, '%Y-%m-%d') is null""")
 def silent_null_report(spark, d):
     raw = _untyped(spark, d)
-    typed = S.cast_columns(raw.withColumns({"n0": F.col("N"), "d0": F.col("D"), "v0": F.col("V")}), CASTS, validate=False)
-    assert set(S.silent_nulls(raw, CASTS)) == {"N", "D"}
-    lost = lambda a, b: F.count(F.when((F.trim(a) != "") & F.col(b).isNull(), 1))
-    return typed.agg(lost("n0", "N").alias("N"), lost("d0", "D").alias("D")).selectExpr("stack(2, 'N', N, 'D', D) as (column_name, lost)")
+    try:
+        S.cast_columns(raw, CASTS)
+    except PlatformViolation as e:
+        return spark.createDataFrame([(c, x, e.total) for c, x in S.silent_nulls(raw, CASTS).items()], "column_name string, example string, columns_lost long")
 
 
 # ---------------------------------------------------------------- latest rows, exports, increments
@@ -204,13 +211,17 @@ def dedup_lineitem(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_shipdate", F.col(RECORD_HASH).alias("h"))
 
 
-@query("""select count(*) filter (event_id % 5 = 0) as blank, count(*) filter (event_id % 5 = 1) as unparseable, count(*) as total from events""")
+@query("""select * from (select 'blank' as kind, count(*) as rows_refused from events where event_id % 5 = 0
+    union all select 'unparseable', count(*) from events where event_id % 5 = 1 union all select 'both', count(*) from events where event_id % 5 < 2)""")
 def event_time_validity(spark, d):
-    text = F.expr("case event_id % 5 when 0 then ' ' when 1 then 'soon' else date_format(ts, 'yyyy-MM-dd HH:mm:ss') end")
-    e = table(spark, d, "events").select(text.alias("t"))
-    time = B.Time("t", "yyyy-MM-dd HH:mm:ss")
-    blank = F.trim("t") == ""
-    return e.agg(F.count(F.when(blank, 1)).alias("blank"), F.count(F.when(~blank & time.of(e).isNull(), 1)).alias("unparseable"), F.count("*").alias("total"))
+    out = []
+    for kind, text in {"blank": "case event_id % 5 when 0 then ' '", "unparseable": "case event_id % 5 when 1 then 'soon'", "both": "case event_id % 5 when 0 then null when 1 then 'soon'"}.items():
+        e = table(spark, d, "events").select(F.expr(f"{text} else date_format(ts, 'yyyy-MM-dd HH:mm:ss') end").alias("t"))
+        try:
+            B.require_valid_times(e, {"output.event_time": B.Time("t", "yyyy-MM-dd HH:mm:ss")})
+        except PlatformViolation as x:
+            out.append((kind, x.total))
+    return spark.createDataFrame(out, "kind string, rows_refused long")
 
 
 MARK = datetime(1997, 1, 1)
@@ -469,7 +480,7 @@ def export_text_exact(spark, d):
 def _task(spark, root: str, **settings):
     from .plans.task import run_task
 
-    return run_task(spark, f"{root}/warehouse", {"catalog": "demo", "env": "test", "metadata_path": f"{root}/meta"} | {k.replace("__", "."): v for k, v in settings.items()})
+    return run_task(spark, f"{root}/warehouse", {"catalog": "demo", "env": "test", "metadata_path": f"{root}/warehouse/demo_test/meta"} | {k.replace("__", "."): v for k, v in settings.items()})
 
 
 @query("select cast(c_custkey as varchar) as C_CUSTKEY, c_name as C_NAME, cast(c_nationkey as varchar) as C_NATIONKEY, timestamp '2024-01-15 10:30:00' as exported from customer")
@@ -484,9 +495,9 @@ def stream_csv_to_bronze(spark, d):
 @query("select cast(conv_id as varchar) as CONV_ID, cast(turn as varchar) as TURN, role as ROLE from conversations")
 def stream_json_envelope(spark, d):
     root = scratch(spark)
-    items = table(spark, d, "conversations").select("conv_id", "turn", "role").agg(F.collect_list(F.struct("*")).alias("data"))
-    items.select(F.struct(F.lit("20240115103000").alias("export_date")).alias("metadata"), "data").coalesce(1).write.json(f"{root}/raw")
-    _placed(spark, f"{root}/raw", f"{root}/inbound/conv/CONV_20240115103000.json")
+    items = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("c")).agg(F.collect_list(F.struct("conv_id", "turn", "role")).alias("data"))
+    items.select("c", F.struct(F.lit("20240115103000").alias("export_date")).alias("metadata"), "data").write.partitionBy("c").json(f"{root}/raw")
+    _placed_all(spark, f"{root}/raw", f"{root}/inbound/conv/CONV_{{}}_20240115103000.json")
     ctx = _task(spark, root, source__origin="json", source__path=f"{root}/inbound", source__directory="conv", source__preprocessors="record_envelope", source__envelope_fields="conv_id, turn, role", output__verb="append", output__schema_name="bronze", output__table="CONV")
     return ctx.target.read().select("CONV_ID", "TURN", "ROLE")
 
@@ -507,3 +518,13 @@ def _placed(spark, folder: str, goal: str) -> None:
     part = next(n for n in fs.names(folder) if n.startswith("part-"))
     fs.fs.mkdirs(fs.path(goal.rsplit("/", 1)[0]))
     fs.fs.rename(fs.path(f"{folder}/{part}"), fs.path(goal))
+
+
+def _placed_all(spark, folder: str, goal: str) -> None:
+    """Move the part file of each of a folder's partitions to a name that has the partition's value."""
+    from .sources.store import Files
+
+    fs = Files(spark, folder)
+    for part in fs.names(folder):
+        if "=" in part:
+            _placed(spark, f"{folder}/{part}", goal.format(part.split("=")[1]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,18 +56,54 @@ class KnownColumns:
         return df.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in merged])
 
 
+HEADER_BYTES = 1 << 12
+
+
+def first_record(io: Files, path: str, quote: str) -> bytes:
+    """A file's first lines, up to a line break outside quotes."""
+    size = HEADER_BYTES
+    while True:
+        stream = io.fs.open(io.path(path))
+        try:
+            got = bytes(io.jvm.org.apache.commons.io.IOUtils.toByteArray(io.jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+        finally:
+            stream.close()
+        at = got.find(b"\n")
+        while at >= 0 and quote and got[:at].count(quote.encode()) % 2:
+            at = got.find(b"\n", at + 1)
+        if at >= 0:
+            return got[: at + 1]
+        if len(got) < size:
+            return got
+        size *= 8
+
+
+def by_header(spark: SparkSession, paths: list[str], opts: dict) -> dict[tuple, list[str]]:
+    """Files by their column names.
+
+    Headers are read by threads of the driver, a few KB of each file, and Spark's
+    parser sees one file of every distinct header: no job per file.
+    """
+    io = Files(spark, paths[0])
+    with ThreadPoolExecutor(32) as pool:
+        heads = list(pool.map(lambda p: first_record(io, p, opts["quote"]), paths))
+    alike: dict[bytes, list[str]] = {}
+    for head, path in zip(heads, paths, strict=True):
+        alike.setdefault(head.rstrip(b"\r\n"), []).append(path)
+    out: dict[tuple, list[str]] = {}
+    for files in alike.values():
+        out.setdefault(tuple(spark.read.options(header="true", **opts).csv(files[0]).columns), []).extend(files)
+    return out
+
+
 def read_csv(spark: SparkSession, paths: list[str], options: dict, pattern: str) -> DataFrame:
     """Delimited text with every column as string. Files are grouped by their header, for Spark maps columns by place."""
-    opts = {"sep": options.get("delimiter", ","), "quote": options.get("quote") or '"', "escape": options.get("escape", "\\"), "multiLine": str(options.get("multiline", True)).lower()}
-    header = options.get("header", True)
-    if not header:
+    opts = {"sep": options.get("delimiter", ","), "quote": options.get("quote") or '"', "escape": options.get("escape", "\\"), "multiLine": str(options.get("multiline", True)).lower(), "ignoreMissingFiles": "true"}
+    if not options.get("header", True):
         df = spark.read.options(header="false", inferSchema="false", **opts).csv(paths)
         return add_provenance(df, pattern)
-    by_header: dict[tuple, list[str]] = {}
-    for p in paths:  # headers only: one row of each new file
-        by_header.setdefault(tuple(spark.read.options(header="true", **opts).csv(p).columns), []).append(p)
     out = None
-    for names, files in by_header.items():
+    for names, files in by_header(spark, paths, opts).items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         part = add_provenance(spark.read.options(header="true", **opts).schema(schema).csv(files), pattern)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -75,7 +112,7 @@ def read_csv(spark: SparkSession, paths: list[str], options: dict, pattern: str)
 
 def read_json(spark: SparkSession, paths: list[str], options: dict, pattern: str) -> DataFrame:
     """JSON documents (one per file unless ``multiline`` is false); ``schema_hints`` fixes columns by DDL."""
-    reader = spark.read.option("multiLine", str(options.get("multiline", True)).lower())
+    reader = spark.read.option("multiLine", str(options.get("multiline", True)).lower()).option("ignoreMissingFiles", "true")
     if options.get("escape"):
         reader = reader.option("escape", options["escape"])
     df = reader.json(paths)
