@@ -194,3 +194,52 @@ def test_uncontaminated_rows(spark):
         assert got.columns == df.columns
         assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect() if r["text"]) == [(-1, "x"), (1, "y")] and got.count() == 3
     assert decontaminate.uncontaminated(df, bench.limit(0)).count() == len(rows)
+
+
+def test_neighbours_repeated_rows_and_few_vectors(spark):
+    """Repeated rows take no places, and where few vectors are met all are compared."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(10, 64))
+    rows = [(i, v[i].tolist()) for i in range(10)] * 3 + [(50, v[0].tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = cross_polytope.neighbours(df, df.where("vec_id < 3"), 10).collect()
+    for q in range(3):
+        d = {i: float(np.sqrt(((v[i % 50] - v[q]) ** 2).sum())) for i in [*range(10), 50] if i != q}
+        want = sorted(d, key=lambda i: (d[i], i))[:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [m[1] for m in mine] == want and [m[0] for m in mine] == list(range(1, 11))
+        assert all(m[2] == pytest.approx(d[m[1]], abs=1e-12) for m in mine)
+
+
+def test_neighbours_of_a_hot_vector(spark):
+    """A third of all rows are equal, another third is in one bucket; groups are split on both sides."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    v = [base] * 400 + [base + 0.01 * rng.normal(size=16) for _ in range(400)] + list(rng.normal(size=(400, 16)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = cross_polytope.neighbours(df, df.where("vec_id % 10 = 0"), 5, part=64).toPandas()
+    x, hits = np.stack(v), 0
+    for q, own in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), d))[:5]) & set(own["vec_id"]))
+    assert len(got) == 600 and hits >= 0.9 * 600
+
+
+def test_candidates_become_a_smaller_share():
+    """Twice the letters for more vectors: the same recall meets a smaller part of them."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 32))
+    shares = []
+    for n in (1000, 16000):
+        v = centres[rng.integers(0, 200, n)] + 0.5 * rng.normal(size=(n, 32))
+        index = cross_polytope.Index(32, n, 16)
+        codes, asked = index.codes(v), v[:30]
+        best = np.argsort(((v[:, None] - asked[None]) ** 2).sum(2), axis=0)[1:11]
+        for probes in (20, 50, 100, 200, 400, 800):
+            table, code = index.probed(asked, probes)
+            met = np.stack([np.any([np.isin(codes[:, t], code[i][table[i] == t]) for t in range(16)], axis=0) for i in range(30)])
+            if np.mean([met[i][best[:, i]].mean() for i in range(30)]) >= 0.9:
+                break
+        shares.append(met.mean())
+    assert np.prod(cross_polytope.letters_for(1000, 32)) < np.prod(cross_polytope.letters_for(16000, 32)) and shares[1] < 0.6 * shares[0] and shares[1] < 0.05
