@@ -93,6 +93,75 @@ def test_classes_decide(spark):
         assert got[20 + n] == f"{say(n, 60)}\ntail {n}"
 
 
+def deduced(pages: list[str], falsify=lambda i, v: v) -> dict:
+    """Template of one host's pages, deduced in this process; ``falsify`` changes the occurrence vectors."""
+    import json
+
+    import pandas as pd
+
+    df = pd.DataFrame({"host": "h", "html": pages})
+    counts = pd.concat(H._counts([df]))
+    tokens = [r for r in counts.to_dict("records") if r["pages"] >= 0.6 * len(pages) or not r["path"]]
+    for i, t in enumerate(tokens):
+        t["vector"] = falsify(i, t["vector"])
+    plan = json.dumps(H._numbered(tokens))
+    seen = pd.concat(H._observations([df.assign(plan=plan)]))
+    merged = seen.groupby(["kind", "item"]).agg(low=("low", "min"), high=("high", "max"), good=("good", "min")).reset_index()
+    broken = [{"kind": r["kind"], "item": r["item"]} for r in merged.to_dict("records") if not r["good"] or r["low"] != r["high"]]
+    out = next(H._template()([pd.DataFrame({"host": ["h"], "tokens": [tokens], "broken": [broken]})]))
+    return json.loads(out["slots"][0])
+
+
+def test_occurrence_vectors_decide():
+    """With other vectors there are other classes, other templates and another slot."""
+    say = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k))
+    moves = []
+    for n in range(6):
+        box, top = f"<div class=b7><p>{say(n, 60)}</div>" if n < 5 else f"<p>{say(n, 60)}</p>", "<div class=t1><p>top</div>"
+        moves.append(page((box + top if n % 2 else top + box) + f"<div class=z{'abcdef'[n]}>tail {n}</div>", n))
+    real, apart, equal = deduced(moves), deduced(moves, lambda i, v: i), deduced(moves, lambda i, v: 0)
+    assert real != apart and real["slots"] != apart["slots"]
+    texts = lambda t: [H.main_text(p, **t) for p in moves]
+    assert texts(real) != texts(apart) and equal["slots"] == real["slots"]
+
+
+def test_hosts_with_random_names(spark):
+    """Neither article nor main, class names that mean nothing, menus and notices alike on all pages."""
+    import random
+
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("bcdfghjkqvwxz") for _ in range(7))
+    rows, want = [], {}
+    for h in range(4):
+        cls = [name() for _ in range(6)]
+        for n in range(8):
+            text = [" ".join(f"{name()}" for _ in range(rng.randint(20, 40))) for _ in range(3)]
+            links = "".join(f"<li><a href=x>{name()}</a>" for _ in range(4))
+            body = f"<div class={cls[0]}><ul>{links}</ul></div><div class={cls[1]}><p>We use crumbs on all our pages, agree.</div><div class={cls[2]}><div class={cls[3]}>"
+            body += "".join(f"<p>{t}</p>" for t in text) + f"</div></div><div class={cls[4]}>All rights are kept by us</div>"
+            rows.append((100 * h + n, f"http://h{h}.example/{n}", f"<html><body>{body}</body></html>"))
+            want[100 * h + n] = "\n".join(text)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()} == want
+
+
+def test_teasers_are_no_article(spark):
+    """Articles beside the section that holds the words do not become the slot."""
+    say = lambda n: " ".join(f"w{n}x{i}" for i in range(80))
+    rows = [(n, "http://teaser.example", page(f"<div class=qqq><p>{say(n)}</div><div class=ttt><article><p>read {n} too</article></div>", n)) for n in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()} == {n: say(n) for n in range(6)}
+
+
+def test_no_article_text_is_lost(spark):
+    """Whatever its host's template, a page with text in an article gives some; very long pages are read whole."""
+    rows = [(n, "http://mixed.example", page([f"<article><p>a {n}</article>", f"<div class=k{n}><article><p>b {n}</article></div>", f"<main><section><article>c {n}</article></section></main>"][n % 3], n)) for n in range(9)]
+    rows.append((50, "http://long.example", "<article>" + "<p>many words here</p>" * 60000 + "</article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()}
+    assert all(got[n] == f"{'abc'[n % 3]} {n}" for n in range(9)) and got[50] == "\n".join(["many words here"] * 60000)
+
+
 def test_valid_classes():
     """Classes by hand: rounds of one order are valid, others are broken into pairs."""
     tokens = lambda *paths: [(p, k) for p, k in sorted(paths)]

@@ -17,12 +17,13 @@ Text between its tags fills slots. A slot with one and the same text on all page
 that have it, three at least, is template as well, and so boilerplate, unless an
 ``article`` or ``main`` holds it.
 
-Slots are then told apart once per host: a slot below a navigation, header,
-footer, advert, form, notice or comment element is boilerplate; the main slot is
-the one below ``article`` or ``main``, and on hosts without either the deepest
-section of the template that holds nearly all words outside links and constant
-slots, of the pages that have it. A
-page's text is what its main slot holds, and the body's where it has none.
+Slots are then told apart once per host: the main slot is the deepest section of
+the template that holds nearly all words, outside links and constant slots, of the
+pages that have it. What lies below a navigation, header, footer, advert, form,
+notice or comment element is boilerplate. Names come second: a valid ``article`` or
+``main`` within that section, or around it, says more closely where the text is; one
+elsewhere, such as a teaser, says nothing. A page's text is what its main slot
+holds, and the body's where it has none.
 
 An occurrence vector is kept as the exclusive-or of a hash of (page, count) over
 the pages, so vectors are merged map-side and a host with a third of all pages
@@ -333,14 +334,7 @@ def _template(nearly: float = 0.9):
             if p in valid and t["texts"] == t["pages"] >= CONSTANT_PAGES and t["low"] == t["high"] and not _of_article(p + "/")
         }
         out = {"slots": [], "constant": sorted(constant)}
-        named = [p for p in rows if p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and not rows[p]["boiler"]]
-        if named:
-            main = [p for p in named if p in valid]  # without any, pages are read by these names
-            inner = [p for p in main if p.rsplit("/", 1)[-1].startswith("article")] or main
-            out["slots"] = sorted(p for p in inner if not any(p.startswith(q + "/") for q in inner))
-            return out
 
-        # no such element: the deepest section, once on a page, with nearly all words of its pages below it
         def holds(p: str) -> bool:
             t = rows[p]
             words, reach = t["words"], t["reach"]
@@ -351,11 +345,18 @@ def _template(nearly: float = 0.9):
                     reach -= n * min(rows[c]["pages"], t["pages"])
             return words > 0 and words >= nearly * reach
 
-        inside = [
-            p for p in valid if p.rsplit("/", 1)[-1].split(".")[0] in SECTIONS and rows[p]["uses"] == rows[p]["pages"] and holds(p)
-        ]
-        if inside:
-            out["slots"] = [max(inside, key=lambda p: (p.count("/"), rows[p]["words"], p))]
+        # the deepest section, once on a page, with nearly all varying words of its pages below it
+        kind = lambda p: p.rsplit("/", 1)[-1].split(".")[0]
+        inside = [p for p in valid if kind(p) in SECTIONS and rows[p]["uses"] == rows[p]["pages"] and holds(p)]
+        best = max(inside, key=lambda p: (p.count("/"), rows[p]["words"], p), default=None)
+        # its name may say more closely where the article is: within that section, or just around it
+        near = lambda p: best is None or (p + "/").startswith(best + "/") or (best + "/").startswith(p + "/")
+        named = [p for p in valid if kind(p) in ("article", "main") and not rows[p]["boiler"] and near(p)]
+        named = [p for p in named if kind(p) == "article"] or named
+        if named:
+            out["slots"] = sorted(p for p in named if not any(p.startswith(q + "/") for q in named))
+        elif best and not any(kind(p) in ("article", "main") and not t["boiler"] and near(p) for p, t in rows.items()):
+            out["slots"] = [best]  # else the page's own article is read by its name
         return out
 
     def of_hosts(frames):
