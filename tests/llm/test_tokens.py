@@ -107,3 +107,44 @@ def test_files_equal_library(spark, tmp_path):
     assert ids == sorted(ids)
     T.write_tokens(df.limit(0), f"file://{tmp_path}/empty", path)
     assert T.read_tokens(spark, f"file://{tmp_path}/empty").count() == 0
+
+
+def test_hot_ids_fill_several_files(spark, tmp_path):
+    """A third of all rows has one id, a third none; repeated rows, very long texts; order and starts stay right."""
+    lib = Library.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
+    docs = [(i, f"text {i} of many") for i in range(100)] + [(40, f"hot {i}") for i in range(100)] + [(None, f"none {i % 7}") for i in range(100)] + [(41, "long words " * 20000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    T.write_tokens(df, f"file://{tmp_path}/t", path, file_bytes=300)
+    per_file = {r["file"]: r["docs"] for r in spark.read.parquet(f"file://{tmp_path}/t/manifest").collect()}
+    assert len(per_file) > 15 and max(per_file.values()) < 60
+    got = T.read_tokens(spark, f"file://{tmp_path}/t", with_ids=True).orderBy("start").collect()
+    key = lambda i: -1 if i is None else i
+    assert sorted((key(r["doc_id"]), tuple(r["ids"])) for r in got) == sorted((key(i), (*lib.encode(t, add_special_tokens=False).ids, 0)) for i, t in docs)
+    assert [key(r["doc_id"]) for r in got] == sorted(key(r["doc_id"]) for r in got)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def test_every_code_point_encodes_as_the_library_does():
+    """Each of the 1,114,112 code points but surrogates, between letters, digits and signs."""
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        lib, own = Library.from_file(path), Tokenizer(path)
+        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        for begin in range(0, len(points), 1 << 17):
+            some = ["".join(f"a{chr(c)}b 1{chr(c)} !{chr(c)}{chr(c)} " for c in points[i : i + 16]) for i in range(begin, min(begin + (1 << 17), len(points)), 16)]
+            ids, n = own.encode(some)
+            for k, (part, want) in enumerate(zip(np.split(ids, np.cumsum(n)[:-1]), lib.encode_batch_fast(some, add_special_tokens=False), strict=True)):
+                assert part.tolist() == want.ids, (name, hex(points[begin + 16 * k]))
+
+
+def test_transitions_are_kept_in_a_table():
+    """What the table says of a pair is what undoing gadgets says, for pairs asked again too."""
+    auto = Tokenizer(public_tokenizers.path("word_bpe_49k.json")).automaton
+    rng = np.random.default_rng(2)
+    made = np.flatnonzero(auto.born >= 0)
+    for _ in range(3):
+        t, x = rng.choice(made[:2000], 500), rng.choice(made[:2000], 500)
+        assert (auto.allowed(t, x) == auto.has(t, x)).all() and (auto.allowed(x, t) == auto.has(x, t)).all()

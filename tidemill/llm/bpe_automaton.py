@@ -10,9 +10,10 @@ arc labels are the word's tokens.
 All u transitions of the automaton end in one state at any time (true at the
 start, kept by every gadget), so there is a state for each token, and a gadget
 changes all states in the same way. The compiled form therefore keeps a table of
-gadgets rather than tokens squared transitions: for a token the time of its
-gadget and its parts, and for a pair the time at which its transition was
-removed. Whether the state behind t has x is read by going back in time: the
+gadgets beside the transitions: for a token the time of its gadget and its parts,
+and for a pair the time at which its transition was removed. The table of
+transitions, (token, token) to open or not, is filled as pairs are met, for of the
+tokens squared few ever are. A new entry is read off by going back in time: the
 younger of the two gadgets is undone (uv is there if u was; the state behind uv
 is the one behind v), until a removal is met or both are base symbols.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NONE, U64, Table, bounded_batches, mix64, powers, rows_in_blocks
-from .tokens import Batch, Memo, ragged
+from .tokens import LETTER, NUMBER, OTHER, SPACE, UNKNOWN, Batch, Memo, classes, ragged
 
 LONG = 12
 
@@ -80,6 +81,7 @@ class Automaton:
         for b, ch in enumerate(base):
             self.base[0, b] = vocab.get(ch, NONE)
             self.base[1, b] = vocab.get(ch + suffix, NONE)
+        self.pairs, self.open, self.most_pairs = np.empty(0, U64), np.empty(0, bool), 4_000_000
         # tokens by their bytes; inner tokens and tokens that end a word are told apart
         self.code = mix64(np.arange(1, 257, dtype=U64)) | U64(1)
         value = {ch: b for b, ch in enumerate(base)}
@@ -130,6 +132,26 @@ class Automaton:
             x[live[~back]], limit[live[~back]] = self.left[b[~back]], bb[~back] + 1
         return out
 
+    def allowed(self, t: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether the state behind token t has a transition for token x, from the table of transitions.
+
+        The table has the pairs that were met so far; a new pair is worked out once.
+        """
+        if len(self.pairs) > self.most_pairs:
+            self.pairs, self.open = np.empty(0, U64), np.empty(0, bool)
+        pair, where = np.unique((t.astype(U64) << U64(32)) | x.astype(U64), return_inverse=True)
+        at = np.searchsorted(self.pairs, pair)
+        known = np.zeros(len(pair), bool)
+        if len(self.pairs):
+            known = self.pairs[np.minimum(at, len(self.pairs) - 1)] == pair
+        out = np.zeros(len(pair), bool)
+        out[known] = self.open[at[known]]
+        miss = np.flatnonzero(~known)
+        if len(miss):
+            out[miss] = self.has((pair[miss] >> U64(32)).astype(np.int32), (pair[miss] & U64(0xFFFFFFFF)).astype(np.int32))
+            self.pairs, self.open = np.insert(self.pairs, at[miss], pair[miss]), np.insert(self.open, at[miss], out[miss])
+        return out[where]
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all words, how many each has)."""
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -168,7 +190,7 @@ class Automaton:
                 k = np.flatnonzero(~ok)
                 before = token[e[k] - n[k]]
                 k, before = k[before >= 0], before[before >= 0]
-                ok[k] = self.has(before, t[k])
+                ok[k] = self.allowed(before, t[k])
                 token[e[ok]], span[e[ok]] = t[ok], n[ok]
         # the paths, from their ends
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -199,6 +221,7 @@ class Tokenizer:
     """
 
     def __init__(self, path: str):
+        self.path, self._library, self._classes = path, None, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, norm = spec["model"], spec["normalizer"]
@@ -214,21 +237,42 @@ class Tokenizer:
             kind=np.uint16 if len(self.labels) <= 1 << 16 else np.uint32,
         )
 
+    @property
+    def library(self):
+        """The tokenizers library's reading of the description, asked about characters that this Python's Unicode data lacks."""
+        if self._library is None:
+            from tokenizers import Tokenizer as Library
+
+            self._library = Library.from_file(self.path)
+        return self._library
+
+    def class_of(self, code: int) -> int:
+        """Class of a code point without one here, by the library's Unicode data."""
+        if code not in self._classes:
+            cut = lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text))
+            c = chr(code)
+            kind = LETTER if cut("a" + c) == 1 else OTHER if cut("!" + c) == 1 else NUMBER if cut(c) and not c.isspace() else SPACE
+            self._classes[code] = kind
+        return self._classes[code]
+
     def normalized(self, text: str) -> str:
-        if not self.suffix:
-            return text
+        if not self.suffix or text.isascii():
+            return text.lower() if self.suffix else text
         import unicodedata
 
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if (classes()[cp] == UNKNOWN).any():
+            return self.library.normalizer.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Memo entry of every word of texts without special tokens, and each text's first word."""
         batch = Batch([self.normalized(t) for t in texts])
         if len(batch.unknown_texts()):
-            batch.kind[:] = np.where(batch.kind == 4, 3, batch.kind)  # unassigned characters are neither letter, number nor space
-            batch.kind[batch.at[1:] - 1] = 4
+            odd = batch.kind == UNKNOWN
+            odd[batch.at[1:] - 1] = False  # the ends of texts
+            codes, where = np.unique(batch.cp[odd], return_inverse=True)
+            batch.kind[odd] = np.array([self.class_of(int(c)) for c in codes], np.uint8)[where]
         starts, ends = batch.bare() if self.suffix else batch.space_prefixed()
         return self.memo.find(batch, starts, ends), np.searchsorted(starts, batch.at)
 

@@ -199,18 +199,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     """Encode ``docs`` (doc_id, text; other columns are ignored) into token files below ``path``.
 
     Each document's ids end with ``end_id``; a null or empty text has only that.
-    Documents stand in ascending doc_id order, null ids first, equal ids in the
-    order of their text's digest. Texts are encoded where they are read; what is
-    shuffled into runs of documents is their ids. An empty table makes an empty
-    archive.
+    Documents stand in ascending doc_id order, null ids first. Texts are encoded
+    where they are read; what is shuffled into runs of documents is their ids. A run
+    is one file and one task, so no task grows with the input; rows of one id, or
+    without, that are more than a file has room for are dealt to several runs by a
+    number of their own. An empty table makes an empty archive.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    runs = max(1, -(-int(size) // file_bytes))
+    size, nameless = F.octet_length("text"), F.col("doc_id").isNull()
+    total, without = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(nameless, size)), F.lit(0))).first()
+    runs, before = max(1, -(-int(total - without) // file_bytes)), -(-int(without) // file_bytes)
     quantiles = [i / runs for i in range(1, runs)]
-    bounds = np.array(sorted(set(docs.agg(F.percentile_approx("doc_id", quantiles, 10 * runs).alias("q")).first()["q"] or [])) if quantiles else [], np.int64)
+    found = docs.agg(F.percentile_approx("doc_id", quantiles, 10 * runs).alias("q")).first()["q"] if quantiles else None
+    bounds = np.array(sorted(found or []), np.int64)
+
+    def run_of(ids: pd.Series, numbers: np.ndarray) -> np.ndarray:
+        known, own = ids.notna().to_numpy(), ids.fillna(0).to_numpy(np.int64)
+        lo, hi = np.searchsorted(bounds, own, "left"), np.searchsorted(bounds, own, "right")
+        spans = np.maximum(hi - lo, 1)  # an id that is several bounds fills the runs between them
+        run = np.where(hi - lo > 1, lo + 1 + numbers % spans, hi)
+        return np.where(known, before + run, numbers % max(before, 1))
 
     def encode(frames):
         if tokenizer not in _encoders:
@@ -221,10 +231,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
                 ids, n = enc.encode([t if t is not None else "" for t in part["text"]])
                 ids = ids.astype(np.uint16 if int(ids.max(initial=0)) < 1 << 16 else np.uint32)
                 at = np.concatenate([[0], np.cumsum(n)]).tolist()
-                known = part["doc_id"].notna().to_numpy()
-                run = np.where(known, np.searchsorted(bounds, part["doc_id"].fillna(0).to_numpy(np.int64), "right"), 0)
+                run = run_of(part["doc_id"], part["number"].to_numpy())
                 yield pd.DataFrame(
-                    {"run": run, "doc_id": part["doc_id"], "wide": ids.itemsize, "ids": [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]}
+                    {"run": run.astype(np.int32), "doc_id": part["doc_id"], "wide": ids.itemsize, "ids": [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]}
                 )
 
     def flush(run, rows):
@@ -246,8 +255,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
         if rows:
             yield flush(current, rows)
 
-    coded = docs.mapInPandas(encode, "run long, doc_id long, wide int, ids binary")
-    dealt = coded.repartition(max(1, min(runs, int(spark.conf.get("spark.sql.shuffle.partitions")))), "run")
+    numbered = docs.withColumn("number", F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 62) - 1)))
+    coded = numbered.mapInPandas(encode, "run int, doc_id long, wide int, ids binary")
+    dealt = coded.repartitionById(before + runs, "run")
     dealt.sortWithinPartitions("run", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).mapInPandas(
         write, "run long, file string, docs long, n long"
     ).write.parquet(f"{path}/manifest")

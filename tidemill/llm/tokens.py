@@ -28,6 +28,7 @@ def classes() -> np.ndarray:
     global _classes
     if _classes is None:
         out = np.full(0x110000, OTHER, np.uint8)
+        out[0x32400:0xE0000] = out[0xE0200:0xF0000] = UNKNOWN
         for a, b in ((0, 0xE000), (0xF900, 0x32400), (0xE0000, 0xE0200)):
             cat = np.array(list(map(unicodedata.category, map(chr, range(a, b)))))
             lead = cat.astype("U1")
