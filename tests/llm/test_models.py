@@ -243,3 +243,71 @@ def test_candidates_become_a_smaller_share():
                 break
         shares.append(met.mean())
     assert np.prod(cross_polytope.letters_for(1000, 32)) < np.prod(cross_polytope.letters_for(16000, 32)) and shares[1] < 0.6 * shares[0] and shares[1] < 0.05
+
+
+def test_boosting_equals_a_direct_search():
+    """Each split is the best of all features and edges, each leaf the second-order step, by plain loops."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 4)).round(2)
+    y = ((x[:, 0] > 0.2) ^ (rng.uniform(size=120) < 0.2)).astype(float)
+    w = rng.uniform(0.5, 2, 120)
+    depth, rate, bins = 2, 0.3, 16
+    model = toxicity.boost(x, y, w, trees=3, depth=depth, rate=rate, bins=bins)
+    prior = (w * y).sum() / w.sum()
+    raw, ridge = np.full(120, np.log(prior / (1 - prior))), w.mean()
+    edges = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1]))) for c in x.T]
+
+    def grow(rows, level):
+        """Leaf values of a subtree's rows."""
+        if level == depth:
+            return {i: -rate * g[rows].sum() / (h[rows].sum() + ridge) for i in rows}
+        score = lambda s: g[s].sum() ** 2 / (h[s].sum() + ridge)
+        best = (1e-9, None)
+        if len(rows) >= 10:
+            for f, own in enumerate(edges):
+                for e in own:
+                    left = [i for i in rows if x[i, f] <= e]
+                    right = [i for i in rows if x[i, f] > e]
+                    gain = score(left) + score(right) - score(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (left, right))
+        left, right = best[1] or (rows, [])
+        return grow(left, level + 1) | (grow(right, level + 1) if right else {})
+
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = w * (p - y), w * p * (1 - p)
+        step = grow(list(range(120)), 0)
+        raw = raw + np.array([step[i] for i in range(120)])
+    assert model.raw(x) == pytest.approx(raw, abs=1e-9)
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    """Against the max-min formula of isotonic regression."""
+    rng = np.random.default_rng(3)
+    raw, y, w = np.sort(rng.normal(size=40)), rng.integers(0, 2, 40).astype(float), rng.uniform(0.5, 2, 40)
+    mean = lambda a, b: (w[a : b + 1] * y[a : b + 1]).sum() / w[a : b + 1].sum()
+    want = [max(min(mean(a, b) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    assert sorted(set(np.round(want, 9))) == sorted(set(np.round(toxicity.isotonic(raw, y, w)[1], 9)))
+
+
+def test_lexicon_and_features_by_plain_strings():
+    import re
+
+    rng = random.Random(7)
+    lexicon = toxicity.Lexicon(["bad", "wor*", "worse", "ugly*"], [1.0, 2.0, 3.0, 0.5])
+    vocabulary = "bad Bad badly wor words worse WORSE ugly uglier you Your fine b4d w0rse a".split()
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", "!", ",", " -"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", "bad " * 40000]
+    got = toxicity.features([t.encode() for t in texts], lexicon)
+    at = {n: i for i, n in enumerate(toxicity.NAMES)}
+    weigh = lambda w: max([v for k, v in {"bad": 1.0, "worse": 3.0}.items() if w == k] + [v for k, v in {"wor": 2.0, "ugly": 0.5}.items() if w.startswith(k)], default=None)
+    for t, row in zip(texts, got, strict=True):
+        words = [w.lower() for w in re.findall(r"[0-9A-Za-z]+", t)]
+        hits = [i for i, w in enumerate(words) if weigh(w) is not None]
+        you = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+        assert row[at["hits"]] == len(hits)
+        assert row[at["strongest"]] == max([weigh(words[i]) for i in hits], default=0)
+        assert row[at["weight_density"]] == pytest.approx(sum(weigh(words[i]) for i in hits) / max(len(words), 1))
+        assert row[at["near_you"]] == sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hits)
+        assert row[at["capitals"]] == pytest.approx(sum("A" <= c <= "Z" for c in t) / max(len(t), 1))
+        assert row[at["bangs"]] == pytest.approx(sum(c in "!?" for c in t) / max(len(t), 1))

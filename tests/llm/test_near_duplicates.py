@@ -61,8 +61,8 @@ def test_equals_brute_force(spark, width, percent, crowd):
 
 def test_rare_shingles_need_no_sketch(spark, monkeypatch):
     """Without region leaders and without any similar sketches, rare shingles alone find all links."""
-    keep = minhash_forest.staged
-    monkeypatch.setattr(minhash_forest, "staged", lambda df, name: keep(df.limit(0) if name == "leaders" else df, name))
+    keep = minhash_forest.staged_at
+    monkeypatch.setattr(minhash_forest, "staged_at", lambda df, name: keep(df.limit(0) if name == "leaders" else df, name))
     monkeypatch.setattr(minhash_forest, "_similar", lambda pairs, *_: pairs.limit(0))
     docs = corpus(5)
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=5, percent=80, crowd=2).collect()
@@ -85,3 +85,31 @@ def test_components(spark):
 
 def test_depth():
     assert base_depth(0.85) == 4 and base_depth(0.8) == 3
+
+
+@pytest.mark.parametrize("over", [0, 1])
+def test_texts_at_the_threshold(spark, over):
+    """300 pairs at exactly 85 of 100 shingles are linked, all of them; pairs at 84 of 100 are not."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = [f"p{i}w{k}x{rng.randrange(10**6)}" for k in range(100)]
+        shared, rest = words[: 85 - over], words[85 - over :]
+        a, b = shared + rest[:7], shared + rest[7:]
+        for j, own in enumerate((a, b)):
+            rng.shuffle(own)
+            rows.append((2 * i + j, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=85).collect()}
+    assert all(got[2 * i + 1] == 2 * i + over for i in range(300))
+
+
+def test_a_hub_of_many_members_and_long_texts(spark, monkeypatch):
+    """One leader with more members than a share holds; texts of 50,000 words."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join(base[:-1] + [word()])) for i in range(1300)]
+    long = [word() for _ in range(50_000)]
+    rows += [(5000, " ".join(long)), (5001, " ".join([*long[:-5], "x"])), (5002, " ".join(long[:25_000]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert {got[i] for i in range(1300)} == {0} and (got[5000], got[5001], got[5002]) == (5000, 5000, 5002)

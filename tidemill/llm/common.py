@@ -24,13 +24,15 @@ NONE = np.int32(-1)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a local temporary
-    folder used and set.
+    Only where the session names none and runs on one machine, as in tests, is a
+    local temporary folder used and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(base)

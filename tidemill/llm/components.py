@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged_at
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,8 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .select("e.u", "e.v")
         .distinct()
     )
-    both = staged(both, "edges")
-    labels = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
+    both, edges_at = staged_at(both, "edges")
+    labels, labels_at = staged_at(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
     while True:
         near = (
             both.join(labels.select(F.col("u").alias("v"), "l"), "v")
@@ -36,10 +36,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .agg(F.min("l").alias("l"))
         )
         jump = labels.select(F.col("u").alias("l"), F.col("l").alias("j"))
-        after = staged(
+        after, after_at = staged_at(
             near.join(jump, "l", "left").select("u", F.least("l", F.coalesce("j", "l")).alias("l")), "labels"
         )
         changed = after.alias("x").join(labels.alias("y"), F.expr("x.u = y.u and x.l <> y.l"), "left_semi")
-        if changed.isEmpty():
+        done = changed.isEmpty()
+        discard(both.sparkSession, labels_at)
+        if done:
+            discard(both.sparkSession, edges_at)
             return after.select(F.col("u").alias("node"), F.col("l").alias("component"))
-        labels = after
+        labels, labels_at = after, after_at

@@ -26,9 +26,12 @@ Links are found in two passes:
    large group costs no square of its size.
 
 Candidates of the second pass that met in a region are first weighed by the share
-of equal labels (4.5 standard errors of slack), those that met on a rare shingle
-are not; every link is then confirmed on full shingle sets. The depth of the base prefix is the largest at which a pair at the
-threshold shares no region of any order with probability below 1e-6.
+of equal labels (6 standard errors of slack), those that met on a rare shingle
+are not; every link is then confirmed on full shingle sets. The depth of the base
+prefix is the largest at which a pair at the threshold shares no region of any
+order with probability below 1e-6. So a link is missed with a probability of about
+1e-6 at the threshold, far less above it, unless both texts stand in crowded regions,
+where none is.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, SPACE_WORDS, U64, Words, bounded_batches, encoded, mix64, rows_in_blocks, staged
+from .common import SPACE_TABLE, SPACE_WORDS, U64, Words, bounded_batches, discard, encoded, mix64, parallelism, rows_in_blocks, staged_at
 from .components import components
 
 TREES, DEPTH = 20, 6
@@ -129,30 +132,50 @@ def _similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     )
 
 
+#: Members that are compared with a leader in one go; a leader of more is sent to several tasks.
+SHARE = 512
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with ``100 * |A & B| >= percent * |A | B|`` on full sets. texts: (rep, text), rep unique."""
+    """Pairs with ``100 * |A & B| >= percent * |A | B|`` on full sets, for any of the texts of each. texts: (rep, text).
+
+    The text of a goes once to each share of its partners, not along with each.
+    """
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    shares = F.ceil(F.col("n") / SHARE)
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("share"))
+    lead = dealt.select("a", "share").distinct().join(texts.withColumnRenamed("rep", "a"), "a")
+    rest = dealt.join(texts.withColumnRenamed("rep", "b"), "b")
+    both = lead.select("a", "share", F.lit(None).cast("long").alias("b"), "text").unionByName(rest.select("a", "share", "b", "text"))
 
     def check(frames):
+        group, held = None, []
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "tb"):
-                ids, where = np.unique(part["a"].to_numpy(), return_index=True)
-                left, lf = shingle_sets(encoded(part["ta"].iloc[where]), width)
-                right, rf = shingle_sets(encoded(part["tb"]), width)
-                at = np.searchsorted(ids, part["a"].to_numpy())
-                ok = np.zeros(len(part), bool)
-                for i, k in enumerate(at):
-                    x, y = left[lf[k] : lf[k + 1]], right[rf[i] : rf[i + 1]]
-                    if not len(x) or not len(y):
+            for part in rows_in_blocks(iter([pdf]), "text"):
+                sets, first = shingle_sets(encoded(part["text"]), width)
+                partner = part["b"].notna().to_numpy()
+                found = []
+                for i, (a, share, b) in enumerate(zip(part["a"].tolist(), part["share"].tolist(), part["b"].tolist(), strict=True)):
+                    if (a, share) != group:
+                        group, held = (a, share), []
+                    y = sets[first[i] : first[i + 1]]
+                    if not partner[i]:
+                        held.append(y.copy())
                         continue
-                    pos = np.searchsorted(x, y)
-                    pos[pos == len(x)] = 0
-                    both = int((x[pos] == y).sum())
-                    ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield part.loc[ok, ["a", "b"]]
-
-    a = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(check, "a long, b long")
+                    for x in held:
+                        if len(x) and len(y):
+                            at = np.searchsorted(x, y)
+                            at[at == len(x)] = 0
+                            same = int((x[at] == y).sum())
+                            if 100 * same >= percent * (len(x) + len(y) - same):
+                                found.append((a, int(b)))
+                                break
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    n = parallelism(pairs.sparkSession)
+    dealt = both.repartition(n, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    return dealt.mapInPandas(check, "a long, b long")
 
 
 SLOTS = 1 << 18
@@ -238,7 +261,14 @@ def near_duplicates(
     the component of any of their texts. A null doc_id takes part in nothing: its
     component is null. An empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
+    spark, made = docs.sparkSession, []
+    bounded_batches(spark)
+
+    def staged(df, purpose):
+        out, path = staged_at(df, purpose)
+        made.append(path)
+        return out
+
     threshold = percent / 100
     base = base_depth(threshold, trees, depth)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -251,7 +281,7 @@ def near_duplicates(
     )
     # equal sets: one class, named by its smallest doc_id
     classes = signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = staged(
+    member, _ = staged_at(
         signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "member"
     )
     # a rep may come in several rows (a repeated row); one of them stands for the class
@@ -301,7 +331,7 @@ def near_duplicates(
         .select("key", "rare", "rep", "n", "place", F.coalesce("component", "rep").alias("c"))
     )
     second = staged(_across(staged(keyed, "keyed"), percent).join(first, ["a", "b"], "left_anti"), "second")
-    slack = 4.5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
+    slack = 6 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
     close = _similar(second.where("not rare").select("a", "b"), reps.dropDuplicates(["rep", "sketch"]), threshold - slack)
     second = second.where("rare").select("a", "b").unionByName(close)
     more = _confirmed(second, texts, width, percent)
@@ -309,6 +339,7 @@ def near_duplicates(
     # rows of one doc_id with several texts tie their classes together
     ties = member.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     final = components(links.unionByName(ties))
+    discard(spark, *made)
     return member.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
