@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, length, crowd):
 def test_two_lengths_equal_brute_force(spark, length, passage, crowd):
     texts = corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = repeated_substrings(df, length=length, passage=passage, crowd=crowd, with_text=True, carry=[]).orderBy("doc_id").collect()
+    got = repeated_substrings(df, length=length, passage=passage, crowd=crowd, kept_as="binary", carry=[]).orderBy("doc_id").collect()
     assert [tuple(r)[1:5] for r in got] == brute(texts, length)
     assert [r["n_repeated"] for r in got] == [r[1] for r in brute(texts, passage)]
     for r, t in zip(got, texts, strict=True):
@@ -86,9 +86,13 @@ def test_very_long_texts(spark, monkeypatch):
 
 def test_text_and_spans(spark):
     df = spark.createDataFrame([(1, "a" * 10 + "0123456789" * 3), (1, "b" * 7 + "0123456789" * 3), (None, "c")], "doc_id long, text string")
-    rows = repeated_substrings(df, length=20, with_text=True).collect()
+    rows = repeated_substrings(df, length=20, kept_as="binary").collect()
     assert sorted((bytes(r["kept"]), list(r["spans"])) for r in rows) == [(b"a" * 10, [10, 40]), (b"b" * 7, [7, 37]), (b"c", [])]
     assert repeated_substrings(df.limit(0), length=20).count() == 0
+    cut = spark.createDataFrame([(1, "aé" + "0123456789" * 3 + "éz"), (2, "b\u00e9" + "0123456789" * 3 + "\u00e8y")], "doc_id long, text string")
+    raw = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"]) for r in repeated_substrings(cut, length=20, kept_as="binary").collect()}
+    assert raw == {1: (b"a\xa9z", 33), 2: (b"b\xa8y", 33)}
+    assert {r["doc_id"]: r["kept"] for r in repeated_substrings(cut, length=20, kept_as="string").collect()} == {1: "az", 2: "by"}
 
 
 def test_equal_windows_pick_equal_places():

@@ -10,10 +10,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -80,8 +81,8 @@ def parallelism(spark: SparkSession) -> int:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Limit what a Python worker gets at once, by rows and by bytes, for texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def trim() -> None:
@@ -105,6 +106,25 @@ def rows_in_blocks(frames: Iterator[pd.DataFrame], column: str, limit: int = 1 <
         trim()
 
 
+def rows_where(df: DataFrame, keep: Callable[[list], np.ndarray], column: str, limit: int = 1 << 20) -> DataFrame:
+    """Rows of ``df``, all columns, for whose texts ``keep`` is true; it gets blocks of about ``limit`` characters.
+
+    The rows stay Arrow batches throughout; only the texts become Python's.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            cuts = np.flatnonzero(np.diff(np.cumsum([len(t) if t is not None else 0 for t in texts]) // limit)) + 1
+            edges = [0, *cuts.tolist(), len(texts)]
+            mask = [keep(texts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+            if mask:
+                yield batch.filter(pa.array(np.concatenate(mask)))
+            trim()
+
+    return df.mapInArrow(run, df.schema)
+
+
 # ---------------------------------------------------------------- hashing
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, a bijection on 64 bits."""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, bounded_batches, byte_table, mix64, rows_in_blocks, separators, staged
+from .common import U64, Words, bounded_batches, byte_table, mix64, rows_in_blocks, rows_where, separators, staged
 
 WORD_BREAKS = separators((0, 47), (58, 64), (91, 96), (123, 127))
 WORD_TABLE = byte_table(3)
@@ -183,21 +183,14 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, min_tile: int = 5,
     """
     bounded_batches(docs.sparkSession)
     for block in _blocks(benchmark, min_tile, block_bytes):
-        docs = docs.where(_clean(block, coverage)("text"))
-    return docs
-
 
-def _clean(block, least: float):
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        out = []
-        for part in rows_in_blocks(iter([pd.DataFrame({"text": text})]), "text"):
-            ok = np.ones(len(part), bool)
-            ok[[d for d, _, _ in _found(block.value, part["text"], least)]] = False
-            out.append(ok)
-        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+        def clean(texts: list, block=block) -> np.ndarray:
+            ok = np.ones(len(texts), bool)
+            ok[[d for d, _, _ in _found(block.value, texts, coverage)]] = False
+            return ok
 
-    return clean
+        docs = rows_where(docs, clean, "text")
+    return docs
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Table, bounded_batches, encoded, rows_in_blocks, staged
+from .common import U64, Table, bounded_batches, encoded, rows_in_blocks, rows_where, staged
 
 UNDETERMINED = "und"
 #: What the code of an accepted text may take beyond its language's own texts: bits whatever its length, and bits a byte.
-SLACK, MORE = 64, 4.0
+SLACK, MORE = 64, 6.0
 
 
 def fold_of(column, folds: int = 5):
@@ -92,7 +92,7 @@ class Model:
             out[some] = np.add.reduceat(each, at[:-1][some], axis=0)
         return out
 
-    def judged(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def judged(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(whether there is a letter, best language's number, its posterior, whether its own texts are coded as shortly) of each text."""
         raw = encoded(texts)
         letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
@@ -140,7 +140,7 @@ def _compiled(lang_codes: list[tuple[str, np.ndarray, np.ndarray]], order: int)
     return model
 
 
-def fit(docs: DataFrame, *, max_docs: int = 4000, max_bytes: int = 8 << 20, order: int = 4) -> Model:
+def fit(docs: DataFrame, *, max_docs: int = 4000, max_bytes: int = 2 << 20, order: int = 4) -> Model:
     """Learn from (doc_id, text, lang) rows with text and lang.
 
     At most about ``max_docs`` rows and ``max_bytes`` bytes of a language are read,
@@ -155,9 +155,11 @@ def fit(docs: DataFrame, *, max_docs: int = 4000, max_bytes: int = 8 << 20, orde
     if not counts:
         return Model([], order)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    names = sorted(r["lang"] for r in counts)
     rates = {r["lang"]: min(1.0, max_docs / r["n"], max_bytes / max(r["b"], 1)) for r in counts}
-    rate = F.create_map(*[x for k, v in sorted(rates.items()) for x in (F.lit(k), F.lit(v))])
-    sample = staged(rows.where(draw < rate[F.col("lang")]).select("lang", "text"), "languages")
+    rate = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(rates[k]))])
+    number = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i))])
+    sample = staged(rows.where(draw < rate[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text"), "languages")
 
     def tally(frames):
         for pdf in frames:
@@ -166,18 +168,23 @@ def fit(docs: DataFrame, *, max_docs: int = 4000, max_bytes: int = 8 << 20, orde
                     code, n = np.unique(_grams(encoded(block["text"]), order)[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "code": code.astype(np.int64), "n": n})
 
-    got = sample.mapInPandas(tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    if not len(got):
+    got = sample.mapInPandas(tally, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    if not got.num_rows:
         return Model([], order)
-    model = _compiled([(k, g["code"].to_numpy(np.int64).astype(U64), g["n"].to_numpy(float)) for k, g in sorted(got.groupby("lang"))], order)
+    lang, code, n = (got.column(c).to_numpy() for c in ("lang", "code", "n"))
+    model = _compiled([(names[i], code[lang == i].astype(U64), n[lang == i].astype(float)) for i in np.unique(lang).tolist()], order)
+    del got, lang, code, n
     shared = docs.sparkSession.sparkContext.broadcast(model)  # no more grams than the bounded sample has
 
+    place = {names.index(k): i for i, k in enumerate(model.languages)}  # a language of empty texts only is not learned
+
     def weigh(frames):
         m = shared.value
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf[pdf["lang"].isin(m.languages)]]), "text"):
+            pdf = pdf.assign(own=pdf["lang"].map(place))
+            for part in rows_in_blocks(iter([pdf[pdf["own"].notna()]]), "text"):
                 raw = encoded(part["text"])
-                own = part["lang"].map(m.languages.index).to_numpy()
+                own = part["own"].to_numpy(int)
                 bits = m.code_lengths(raw)[np.arange(len(raw)), own]
                 rate = np.maximum(bits - SLACK, 0) / np.maximum(list(map(len, raw)), 1)
                 yield pd.DataFrame({"i": own, "most": rate}).groupby("i", as_index=False).max()
@@ -222,15 +229,12 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keep(text: pd.Series) -> pd.Series:
-        m, out = shared.value, []
-        for part in rows_in_blocks(iter([pd.DataFrame({"text": text})]), "text", 1 << 18):
-            letters, _, score, fits = m.judged(part["text"])
-            out.append(letters & fits & ((score >= least) | (not m.languages)))
-        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+    def keep(texts: list) -> np.ndarray:
+        m = shared.value
+        letters, _, score, fits = m.judged(texts)
+        return letters & fits & ((score >= least) | (not m.languages))
 
-    return docs.where(keep("text"))
+    return rows_where(docs, keep, "text", 1 << 18)
 
 
 def op5_language_ppm(spark, sf_dir: str) -> DataFrame:

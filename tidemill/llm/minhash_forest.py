@@ -132,8 +132,8 @@ def _similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     )
 
 
-#: Members that are compared with a leader in one go; a leader of more is sent to several tasks.
-SHARE = 512
+#: Shares of a leader's members, for different tasks; the leader goes once to each.
+SHARES = 256
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -141,9 +141,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     The text of a goes once to each share of its partners, not along with each.
     """
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    shares = F.ceil(F.col("n") / SHARE)
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("share"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SHARES)).cast("int").alias("share"))
     lead = dealt.select("a", "share").distinct().join(texts.withColumnRenamed("rep", "a"), "a")
     rest = dealt.join(texts.withColumnRenamed("rep", "b"), "b")
     both = lead.select("a", "share", F.lit(None).cast("long").alias("b"), "text").unionByName(rest.select("a", "share", "b", "text"))

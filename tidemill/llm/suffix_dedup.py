@@ -361,16 +361,16 @@ def _numbered(df: pd.DataFrame) -> pd.DataFrame:
     return df.assign(g=np.cumsum(new.to_numpy()))
 
 
-def _finisher(lengths: tuple[int, ...], with_text: bool):
+def _finisher(lengths: tuple[int, ...], kept_as: str | None):
     """What is left of a text without its repeated runs of windows; null where there are none."""
-    kind = "n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept binary, spans array<long>" * with_text
+    kind = "n_removed long, n_spans long, kept_sha256 string, n_repeated long" + f", kept {kept_as}, spans array<long>" * bool(kept_as)
 
     @F.pandas_udf(kind)
     def finish(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
         out = []
         for raw, own in zip(text, runs, strict=True):
             if raw is None or own is None:
-                out.append((None,) * (4 + 2 * with_text))
+                out.append((None,) * (6 if kept_as else 4))
                 continue
             raw = raw.encode("utf-8", "surrogatepass")
             masks = []
@@ -383,8 +383,8 @@ def _finisher(lengths: tuple[int, ...], with_text: bool):
             starts, ends = _runs(gone)
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             row = (int(gone.sum()), len(starts), hashlib.sha256(kept).hexdigest(), int(masks[0].sum()))
-            if with_text:
-                row += (kept, [x for s in zip(starts.tolist(), (ends + 1).tolist(), strict=True) for x in s])
+            if kept_as:
+                row += (kept.decode("utf-8", "ignore") if kept_as == "string" else kept, [x for s in zip(starts.tolist(), (ends + 1).tolist(), strict=True) for x in s])
             out.append(row)
         names = [c.split()[0] for c in kind.split(", ")]
         frame = pd.DataFrame(out, columns=names, dtype=object)
@@ -395,27 +395,19 @@ def _finisher(lengths: tuple[int, ...], with_text: bool):
     return finish
 
 
-def repaired(column):
-    """Binary text without the broken characters that a cut has left."""
-
-    @F.pandas_udf("string")
-    def repair(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
-
-    return repair(column)
-
-
 def repeated_substrings(
-    docs: DataFrame, *, length: int = 400, passage: int | None = None, crowd: int = 2048, with_text: bool = False, carry: list[str] | None = None
+    docs: DataFrame, *, length: int = 400, passage: int | None = None, crowd: int = 2048, kept_as: str | None = None, carry: list[str] | None = None
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated[, kept binary, spans, was_null]) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated[, kept, spans, was_null]) for every row of ``docs`` (doc_id, text).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts at
     another place of any text, its own included. Texts are judged as given, not
     after removals. ``n_repeated`` counts the bytes that are covered so by strings
     of ``passage`` bytes (``length`` if not given, and never more). A null text is empty. ``carry`` names columns to
     pass on. Rows are texts of their own, also with equal or null doc_ids. ``spans``
-    lists begin and end of what was removed. Other columns are ignored; an empty
+    lists begin and end of what was removed. ``kept_as`` asks for what is left: as
+    ``binary``, the exact bytes, or as ``string``, without the rest of characters that
+    a cut has broken. Other columns are ignored; an empty
     table gives an empty result.
     """
     spark = docs.sparkSession
@@ -500,15 +492,15 @@ def repeated_substrings(
     by_text = runs.unionByName(late).groupBy("t").agg(F.collect_list(F.struct("k", "first", "last")).alias("runs"))
 
     size, none = F.col("n_bytes"), F.array().cast("array<bigint>")
-    columns = ["doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"] + ["kept", "spans", "was_null"] * with_text
-    whole_text = F.col("text").cast("binary")
+    columns = ["doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"] + ["kept", "spans", "was_null"] * bool(kept_as)
+    whole_text = F.col("text").cast(kept_as or "binary")
     untouched = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("text", 256)}
     short = rows.where(size < lengths[0]).withColumns(untouched | {"n_repeated": F.lit(0).cast("long"), "kept": whole_text, "spans": none})
     # texts that occur once: the buckets meet their runs
-    finish = _finisher(lengths, with_text)
+    finish = _finisher(lengths, kept_as)
     single = texts.where("copies = 1").join(by_text, "t", "left").withColumn("x", finish(F.when(F.col("runs").isNotNull(), F.col("text")), "runs"))
     done = {c: F.coalesce(f"x.{c}", v) for c, v in (untouched | {"n_repeated": F.lit(0).cast("long")}).items()}
-    if with_text:
+    if kept_as:
         done |= {"kept": F.coalesce("x.kept", whole_text), "spans": F.coalesce("x.spans", none), "was_null": F.lit(False)}
     single = single.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumns(done)
     # texts that occur several times are repeated as a whole, if long enough; their rows need no text
@@ -518,7 +510,7 @@ def repeated_substrings(
         "n_spans": F.when(gone, 1).otherwise(0).cast("long"),
         "kept_sha256": F.sha2(F.when(gone, F.lit("")).otherwise(F.col("text")), 256),
         "n_repeated": size,
-        "kept": F.when(gone, F.lit(b"")).otherwise(whole_text),
+        "kept": F.when(gone, F.lit("").cast(kept_as or "binary")).otherwise(whole_text),
         "spans": F.when(gone, F.array(F.lit(0).cast("long"), size)).otherwise(none),
     }
     many = texts.where("copies > 1").select("t")
