@@ -43,16 +43,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A passage of more than 50 words is longer than that. Texts without repeats are unchanged.
     """
-    out = suffix_dedup.repeated_substrings(docs.select(*COLUMNS), length=200, with_text=True, carry=["lang", "source", "n_chars"])
-    cut, raw = F.col("n_removed") > 0, F.col("kept").cast("string")
-    whole = F.when(cut, F.try_validate_utf8(raw)).otherwise(raw)
-    text = F.coalesce(whole, suffix_dedup.repaired(F.when(whole.isNull(), F.col("kept"))))
-    return out.withColumn("text", text).select(
+    out = suffix_dedup.repeated_substrings(docs.select(*COLUMNS), length=200, kept_as="string", carry=["lang", "source", "n_chars"])
+    return out.select(
         "doc_id",
-        F.when(F.col("was_null"), None).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("was_null"), None).otherwise(F.col("kept")).alias("text"),
         "lang",
         "source",
-        F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
+        F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
     )
 
 
