@@ -219,3 +219,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert "wordpx30" not in texts[3] + texts[4] and texts[3].startswith(words(3, 39)) and texts[1] == docs[0][1]
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).columns == corpus_pipeline.COLUMNS
+
+
+def test_near_copies_of_odd_rows(spark, tmp_path):
+    """Rows without id, with one id for several texts, repeated rows: one of each group stays, no other text goes."""
+    words = lambda a, n: " ".join(f"word{a}x{i}" for i in range(n))
+    docs = [(None, words(1, 30)), (None, words(1, 29) + " end"), (7, words(1, 30)), (5, words(2, 30)), (5, words(3, 30)), (5, words(3, 30)), (None, words(4, 30)), (None, words(4, 30)), (None, None), (9, None), (-3, words(5, 30)), (2, words(5, 30))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, df, str(tmp_path)).collect()]
+    want = [(7, words(1, 30)), (5, words(2, 30)), (5, words(3, 30)), (None, words(4, 30)), (None, None), (9, None), (-3, words(5, 30))]
+    assert sorted(got, key=str) == sorted(want, key=str)
