@@ -27,10 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, that of the smallest doc_id; rows without doc_id come last.
 
-    Rows are told apart by a number of their own, so different texts of one doc_id
-    are different documents.
+    Rows that have no doc_id, or share it, are told apart by numbers beyond all
+    doc_ids, so different texts of one doc_id are different documents.
     """
-    rows = staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    docs = docs.select(*COLUMNS)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again"))
+    top = docs.agg(F.greatest(F.max("doc_id"), F.lit(0))).first()[0] or 0
+    number = F.when(F.col("doc_id").isNull() | F.col("again"), F.monotonically_increasing_id() + F.lit(top + 1)).otherwise(F.col("doc_id"))
+    rows = staged(docs.join(again, "doc_id", "left").select(*COLUMNS, number.alias("row")), "rows")
     groups = minhash_forest.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
     members = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
