@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONE, U64, Table, bounded_batches, mix64, powers, rows_in_blocks
+from .common import NONE, U64, Table, bounded_batches, mix64, powers, rows_in_blocks, trim
 from .tokens import LETTER, NUMBER, OTHER, SPACE, UNKNOWN, Batch, Memo, classes, ragged
 
 LONG = 12
@@ -234,6 +234,7 @@ class Tokenizer:
         self.labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.special.items()}
         self.memo = Memo(
             lambda words: self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in words]),
+            limit=1_000_000,
             kind=np.uint16 if len(self.labels) <= 1 << 16 else np.uint32,
         )
 
@@ -347,6 +348,7 @@ def _tools(path: str):
             Emitter([b"%d" % i for i in range(n)]),
             Emitter([t.labels.get(i, "").encode("utf-8") for i in range(n)]),
         )
+        trim()  # the description's text and lists are of no more use
     return _loaded[path]
 
 
@@ -361,7 +363,7 @@ def tokenize(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame
     def run(frames):
         tok, decimal, labels = _tools(path)
         for pdf in frames:
-            for part in rows_in_blocks(iter([pdf]), "text", 1 << 20):
+            for part in rows_in_blocks(iter([pdf]), "text"):
                 ids, n = tok.encode([t if t is not None else "" for t in part["text"]])
                 if tok.suffix:
                     words = list(labels.texts(ids, n))

@@ -93,7 +93,7 @@ def trim() -> None:
         pass  # another C library
 
 
-def rows_in_blocks(frames: Iterator[pd.DataFrame], column: str, limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
+def rows_in_blocks(frames: Iterator[pd.DataFrame], column: str, limit: int = 1 << 19) -> Iterator[pd.DataFrame]:
     """Re-cut Arrow batches so that a block holds about ``limit`` characters of ``column``."""
     for pdf in frames:
         if not len(pdf):
@@ -106,7 +106,7 @@ def rows_in_blocks(frames: Iterator[pd.DataFrame], column: str, limit: int = 1 <
         trim()
 
 
-def rows_where(df: DataFrame, keep: Callable[[list], np.ndarray], column: str, limit: int = 1 << 20) -> DataFrame:
+def rows_where(df: DataFrame, keep: Callable[[list], np.ndarray], column: str, limit: int = 1 << 19) -> DataFrame:
     """Rows of ``df``, all columns, for whose texts ``keep`` is true; it gets blocks of about ``limit`` characters.
 
     The rows stay Arrow batches throughout; only the texts become Python's.
