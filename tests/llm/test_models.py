@@ -164,6 +164,27 @@ def test_tiles_equal_definition():
         assert got == tiling(item, doc, 3)
 
 
+def test_found_equals_definition():
+    """Items and texts over few words, so that seeds repeat in both; shorter items than a seed too."""
+    rng = random.Random(8)
+    some = lambda low, high: [rng.choice("abcd") for _ in range(rng.randint(low, high))]
+    for least in (0.5, 0.8, 1.0):
+        items, docs = [some(1, 12) for _ in range(30)], [some(0, 30) for _ in range(40)]
+        items += [items[0], ["a"] * 9]
+        block = decontaminate.Block(list(range(len(items))), [" ".join(x) for x in items], 3)
+        got = decontaminate._found(block, [" ".join(d) for d in docs], least)
+        share = {(d, i): tiling(x, y, min(3, len(x))) / len(x) for i, x in enumerate(items) for d, y in enumerate(docs)}
+        assert sorted(got) == sorted((d, i, s) for (d, i), s in share.items() if s >= least)
+
+
+def test_a_common_line_of_items_and_texts():
+    """A line that 3,000 items hold and a text repeats 50,000 times: a seed counts once for a text."""
+    line, own = "the usual first line of it", [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(3000)]
+    block = decontaminate.Block(list(range(3000)), [f"{line} {x}" for x in own], 5)
+    got = decontaminate._found(block, [f"{line} " * 50_000 + own[7], line], 0.7)
+    assert [(d, i) for d, i, _ in got] == [(0, 7)]
+
+
 def test_leaks(spark):
     words = [f"w{i}" for i in range(40)]
     item = " ".join(words)

@@ -76,30 +76,30 @@ def tiles(pairs: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     runs = np.diff(np.append(at, len(p))) + width - 1
     heap = [(-int(n), int(p[a, 1]), int(p[a, 0])) for a, n in zip(at, runs, strict=True)]
     heapq.heapify(heap)
-    item_marked, doc_marked, out = set(), set(), []
+    origin = int(p[:, 1].min())
+    item_marked = np.zeros(int(p[:, 0].max()) + width, bool)
+    doc_marked = np.zeros(int(p[:, 1].max()) + width - origin, bool)
+    out = []
     while heap:
         n, j, i = heapq.heappop(heap)
         n = -n
-        free = [i + k not in item_marked and j + k not in doc_marked for k in range(n)]
-        if all(free):
+        mine, theirs = item_marked[i : i + n], doc_marked[j - origin : j - origin + n]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], mine | theirs, [True]])))
+        if len(edge) == 2 and edge[1] - edge[0] == n:
             out.append((i, j, n))
-            item_marked.update(range(i, i + n))
-            doc_marked.update(range(j, j + n))
+            mine[:] = theirs[:] = True
             continue
-        k = 0
-        while k < n:  # what is left of the match goes back
-            if free[k]:
-                e = k
-                while e < n and free[e]:
-                    e += 1
-                if e - k >= width:
-                    heapq.heappush(heap, (k - e, j + k, i + k))
-                k = e
-            else:
-                k += 1
+        for k, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # what is left of the match goes back
+            if e - k >= width:
+                heapq.heappush(heap, (k - e, j + k, i + k))
     return out
 
 
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of each range of n numbers, joined."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 def _found(block: Block, texts, least: float) -> list[tuple[int, int, float]]:
     """(number of the text, item_id, coverage) of the items of a block that the tiles of a text cover."""
     w = _words(texts)
@@ -115,22 +115,31 @@ def _found(block: Block, texts, least: float) -> list[tuple[int, int, float]]:
         hit, lo, n, doc = hit[inside], lo[inside], n[inside], doc[inside]
         if not len(hit):
             continue
-        k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        who = np.repeat(doc, n) * len(block.ids) + items[k]
-        pair = np.stack([places[k], np.repeat(hit - w.first[doc], n)], 1)
-        order = np.argsort(who, kind="stable")
-        cuts = np.flatnonzero(np.diff(who[order])) + 1
-        for own in np.split(order, cuts):
-            d, item = divmod(int(who[own[0]]), len(block.ids))
-            size = len(block.words[item])
-            reach = np.zeros(size + 1, int)
-            np.add.at(reach, pair[own, 0], 1)
-            np.add.at(reach, pair[own, 0] + width, -1)
-            if (np.cumsum(reach)[:size] > 0).sum() < least * size:
-                continue  # the tiles cannot cover more than the seeds do
-            share = sum(t[2] for t in tiles(pair[own], width)) / size
-            if share >= least:
-                found.append((d, block.ids[item], share))
+        cuts = np.flatnonzero(np.diff(doc)) + 1
+        for own in np.split(np.arange(len(doc)), cuts):
+            d = int(doc[own[0]])
+            # a seed that a text repeats counts once: what all seeds reach of an item bounds what tiles can cover
+            first, at, gram = np.unique(lo[own], return_index=True, return_inverse=True)
+            count = n[own[at]]
+            k, of = _spread(first, count), np.repeat(np.arange(len(first)), count)
+            order = np.lexsort((places[k], items[k]))
+            k, of = k[order], of[order]
+            new = np.flatnonzero(np.diff(items[k], prepend=-1))
+            step = np.minimum(np.diff(places[k], append=0), width)
+            step[np.append(new[1:], len(k)) - 1] = width
+            for a, b, reach in zip(new.tolist(), [*new[1:].tolist(), len(k)], np.add.reduceat(step, new).tolist(), strict=True):
+                item = int(items[k[a]])
+                size = len(block.words[item])
+                if reach < least * size:
+                    continue
+                # postings of a gram are in the order of items and places, so those of one item stand in a row
+                here = np.bincount(of[a:b], minlength=len(first))
+                begin = np.full(len(first), len(seeds))
+                np.minimum.at(begin, of[a:b], k[a:b])
+                pair = np.stack([places[_spread(begin[gram], here[gram])], np.repeat(hit[own] - w.first[d], here[gram])], 1)
+                share = sum(t[2] for t in tiles(pair, width)) / size
+                if share >= least:
+                    found.append((d, block.ids[item], share))
     return found
 
 
