@@ -59,6 +59,22 @@ def test_equals_brute_force(spark, width, percent, crowd):
     assert got == brute(docs, width, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_tiny_texts(spark, monkeypatch, percent):
+    """Sets of 1 to 16 shingles: those that can have no partner are never compared, the others are linked as by brute force."""
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(16)]
+    docs = list(enumerate(" ".join(sorted(rng.sample(words, rng.randint(1, 16)))) for _ in range(250)))
+    asked, confirmed = [], minhash_forest._confirmed
+    monkeypatch.setattr(minhash_forest, "_confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirmed(pairs, *rest))
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1, percent=percent, crowd=8).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 1, percent)
+    few = [(i, t) for i, t in docs if len(t.split()) <= percent // (100 - percent) - (percent == 80)]
+    asked.clear()
+    near_duplicates(spark.createDataFrame(few, "doc_id long, text string"), width=1, percent=percent, crowd=8).collect()
+    assert sum(asked) == 0 and len(few) > 30
+
+
 def test_rare_shingles_need_no_sketch(spark, monkeypatch):
     """Without region leaders and without any similar sketches, rare shingles alone find all links."""
     keep = minhash_forest.staged_at

@@ -224,6 +224,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
     If the key is the first shingle that two sets share, they share at most it and
     what follows it in the smaller rest; ``place`` is 0 where the key is a region.
+    Sets of one size are different ones, so they share one shingle less at most.
     ``rare`` tells whether any key of the pair is a shingle.
     """
     main = (
@@ -240,7 +241,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         rows.join(minor, "key")
         .where(
             f"c <> cx and (c = main or x < rep) and 100 * least(n, nx) >= {percent} * greatest(n, nx) "
-            f"and {100 + percent} * least(n - place, nx - px) >= {percent} * (n + nx)"
+            f"and {100 + percent} * least(n - place, nx - px, if(n = nx, n - 1, n)) >= {percent} * (n + nx)"
         )
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"), "rare")
         .groupBy("a", "b")
@@ -288,7 +289,8 @@ def near_duplicates(
         .withColumnRenamed("doc_id", "rep")
         .select("rep", "n", "near", "deep", "sketch")
     )
-    rows = reps.select("rep", "n", F.posexplode(F.arrays_zip("near", "deep")).alias("tree", "k")).select(
+    # a set links with another one only if a shingle more, the least that differs, leaves it similar: tiny texts have no partner
+    rows = reps.where(F.col("n") * (100 - percent) >= percent).select("rep", "n", F.posexplode(F.arrays_zip("near", "deep")).alias("tree", "k")).select(
         "rep", "n", F.col("k.near").alias("near"), F.col("k.deep").alias("deep")
     )
     sizes = rows.groupBy("near").agg(F.count("*").alias("size")).where("size > 1")
