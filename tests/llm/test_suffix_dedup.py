@@ -63,6 +63,20 @@ def test_two_lengths_equal_brute_force(spark, length, passage, crowd):
         assert kept + raw[at:] == bytes(r["kept"]) and r["was_null"] == (t is None)
 
 
+def test_blocks_told_alike_make_no_windows(spark, monkeypatch):
+    """A passage in ever more contexts, dealt to a task for every three: what is compared window by window are the few at its ends."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    passage, made, staged = words(80), [], suffix_dedup.staged
+    monkeypatch.setattr(suffix_dedup, "staged", lambda df, purpose: (made.append((purpose, out := staged(df, purpose))), out)[1])
+    texts = [words(12) + passage + words(12) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeated_substrings(df, length=100, crowd=3).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute(texts, 100)
+    rows = next(out for purpose, out in made if purpose == "windows").count()
+    assert rows < 40 * len(texts), rows  # a text has about 250 windows of the passage
+
+
 def test_very_long_texts(spark, monkeypatch):
     """Windows at the borders of pieces, in texts of several pieces."""
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)

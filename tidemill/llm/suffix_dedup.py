@@ -17,8 +17,9 @@ no prefix below o lies between them in the left array, and none below
 Exact copies of a text are one text, all of whose windows are repeated. Anchors of
 a gram that occurs more than ``crowd`` times are dealt to several tasks; each
 resolves what repeats among its own, and what did not is settled across tasks:
-runs of windows first by a hash of the bytes they have in common, survivors by a
-hash of each window. So no group has to meet in one task.
+blocks of windows that several tasks tell alike are settled as they are, and
+different blocks with the bytes common to their windows by a hash of each window.
+So no group has to meet in one task.
 """
 
 from __future__ import annotations
@@ -266,7 +267,7 @@ def _solver(lengths: tuple[int, ...], rows_at_once: int = AT_ONCE):
     def solve(df: pd.DataFrame):
         p, t, seg = df["p"].to_numpy(np.int64), df["t"].to_numpy(), df["seg"].tolist()
         reach = p - df["start"].to_numpy(np.int64)
-        group, dealt = df["g"].to_numpy(), df["salts"].to_numpy() > 1
+        group, dealt, salt = df["g"].to_numpy(), df["salts"].to_numpy() > 1, df["salt"].tolist()
         left = deep_shallow(group, [s[:m][::-1] for s, m in zip(seg, reach.tolist(), strict=True)])
         right = deep_shallow(group, [s[m:] for s, m in zip(seg, reach.tolist(), strict=True)])
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -274,7 +275,7 @@ def _solver(lengths: tuple[int, ...], rows_at_once: int = AT_ONCE):
         twos = first[(count == 2) & ~dealt[first]]
         more = np.flatnonzero(np.repeat((count > 2) | dealt[first], count))
         out = {"k": [], "t": [], "first": [], "last": []}
-        told = {"k": [], "t": [], "first": [], "last": [], "core": [], "known": [], "windows": []}
+        told = {"k": [], "t": [], "first": [], "last": [], "core": [], "known": [], "salt": [], "windows": []}
 
         def add(k, rows, lo, hi):
             out["k"].append(np.full(len(rows), k))
@@ -315,18 +316,19 @@ def _solver(lengths: tuple[int, ...], rows_at_once: int = AT_ONCE):
                     os = np.arange(j * step, min((j + 1) * step, wide))
                     os = os[tell[i, os]]
                     for known in (False, True):
-                        some = os[found[i, os] == known]
-                        if len(some):
+                        own = os[found[i, os] == known]
+                        for some in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1) if len(own) else ():
                             told["k"].append(k)
                             told["t"].append(t[at])
-                            told["first"].append(int(p[at]))
-                            told["last"].append(int(some[0]))
+                            told["first"].append(int(p[at] - some[-1]))
+                            told["last"].append(int(p[at] - some[0]))
                             told["core"].append(int(core[reach[at] - j * step]) ^ j)
                             told["known"].append(known)
+                            told["salt"].append(salt[at])
                             told["windows"].append(np.stack([some, whole[reach[at] - some]], 1).reshape(-1))
         runs = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
         n = len(runs)
-        runs["core"], runs["known"], runs["windows"] = pd.array([None] * n, "Int64"), True, pd.Series([None] * n, dtype=object)
+        runs["core"], runs["known"], runs["salt"], runs["windows"] = pd.array([None] * n, "Int64"), True, -1, pd.Series([None] * n, dtype=object)
         if not told["k"]:
             return runs
         told["core"] = pd.array(told["core"], "Int64")
@@ -472,23 +474,39 @@ def repeated_substrings(
     solved, _ = staged_at(
         segments.repartition(parts, "h", "salt")
         .sortWithinPartitions("h", "salt")
-        .mapInPandas(_solver(lengths), "k int, t binary, first long, last long, core long, known boolean, windows array<long>"),
+        .mapInPandas(_solver(lengths), "k int, t binary, first long, last long, core long, known boolean, salt int, windows array<long>"),
         "solved",
     )
     discard(spark, listed_at)
     runs = solved.where("core is null").select("t", "k", "first", "last")
-    # between tasks: cores that several rows name, then their windows
-    told = solved.where("core is not null")
-    cores = told.groupBy("core", "k").agg(F.count("*").alias("n")).where("n > 1").select("core", "k")
-    pairs = F.expr("transform(sequence(0, cast(size(windows) / 2 as int) - 1), i -> struct(windows[2 * i] as o, windows[2 * i + 1] as w))")
+    # between tasks: a block that several rows tell is repeated as a whole, and speaks once for what is left
+    told = solved.where("core is not null").withColumn("block", F.xxhash64("windows"))
+    blocks = staged(
+        told.groupBy("core", "k", "block").agg(
+            F.count("*").alias("n"),
+            (F.max("known") | (F.count("*") > 1)).alias("settled"),
+            F.min("salt").alias("low"),
+            F.max("salt").alias("high"),
+            F.first(F.struct("t", "last", "windows")).alias("x"),
+        ),
+        "blocks",
+    )
+    alike = blocks.where("n > 1").select("core", "k", "block")
+    at_once = told.where("not known").join(alike, ["core", "k", "block"]).select("t", "k", "first", "last")
+    # then the windows of different blocks with one core, if several tasks tell them and some block is open
+    cores = blocks.groupBy("core", "k").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("settled").alias("settled"))
+    cores = cores.where("n > 1 and low < high and not settled").select("core", "k")
+    pairs = F.expr("transform(sequence(0, cast(size(windows) / 2 as int) - 1), i -> struct(windows[2 * i] - windows[0] as d, windows[2 * i + 1] as w))")
     windows = staged(
-        told.join(cores, ["core", "k"])
-        .select("t", "core", "k", "known", F.col("first").alias("p"), F.explode(pairs).alias("x"))
-        .select("t", "core", "k", "known", (F.col("p") - F.col("x.o")).alias("s"), F.col("x.w").alias("w")),
+        blocks.select("core", "k", "settled", "x.*")
+        .join(cores, ["core", "k"])
+        .select("t", "core", "k", "settled", "last", F.explode(pairs).alias("x"))
+        .select("t", "core", "k", "settled", (F.col("last") - F.col("x.d")).alias("s"), F.col("x.w").alias("w")),
         "windows",
     )
     twice = windows.groupBy("core", "k", "w").agg(F.count("*").alias("n")).where("n > 1").select("core", "k", "w")
-    late = windows.where("not known").join(twice, ["core", "k", "w"]).select("t", "k", F.col("s").alias("first"), F.col("s").alias("last"))
+    late = windows.where("not settled").join(twice, ["core", "k", "w"]).select("t", "k", F.col("s").alias("first"), F.col("s").alias("last"))
+    late = late.unionByName(at_once)
     by_text = runs.unionByName(late).groupBy("t").agg(F.collect_list(F.struct("k", "first", "last")).alias("runs"))
 
     size, none = F.col("n_bytes"), F.array().cast("array<bigint>")
