@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -140,6 +141,24 @@ def test_every_code_point_encodes_as_the_library_does():
                 assert part.tolist() == want.ids, (name, hex(points[begin + 16 * k]))
 
 
+def test_words_go_to_the_model_alone():
+    """Texts of known characters are cut once, here; very long words and all code points come out as from the library."""
+    lib, enc = Library.from_file(path := public_tokenizers.path("byte_bpe_50k.json")), T.LibraryEncoder(path)
+    want = lambda some: [e.ids for e in lib.encode_batch_fast(some, add_special_tokens=False)]
+    got = lambda some: [part.tolist() for part in np.split(*(lambda ids, n: (ids, np.cumsum(n)[:-1]))(*enc.encode(some)))]
+    odd = texts() + ["ab" * T.LONG + " x", "é" * T.LONG, " \n" * T.LONG + "x"]
+    assert got(odd) == want(odd)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for begin in range(0, len(points), 1 << 17):
+        some = ["".join(f"a{chr(c)}b 1{chr(c)} '{chr(c)}{chr(c)} \n{chr(c)}s" for c in points[i : i + 16]) for i in range(begin, min(begin + (1 << 17), len(points)), 16)]
+        assert got(some) == want(some)
+    plain = [t for t in TEXTS if "<|" not in t and "\u0378" not in t]
+    alone = T.LibraryEncoder(path)
+    alone.lib = SimpleNamespace(model=alone.lib.model)  # no way to encode a text
+    ids, n = alone.encode(plain)
+    assert len(plain) > 5 and [part.tolist() for part in np.split(ids, np.cumsum(n)[:-1])] == want(plain)
+
+
 def test_transitions_are_kept_in_a_table():
     """What the table says of a pair is what undoing gadgets says, for pairs asked again too."""
     auto = Tokenizer(public_tokenizers.path("word_bpe_49k.json")).automaton

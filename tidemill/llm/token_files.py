@@ -20,6 +20,7 @@ import json
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe_automaton import byte_alphabet
 from .common import bounded_batches, rows_in_blocks, shared_dir
 from .tokens import Batch, Memo, ragged
 
 MAGIC = b"TIDETOK1"
 BLOCK = 1 << 16
+#: Bytes of a word from which on the library's leaner whole encoding is used.
+LONG = 4096
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -102,9 +106,10 @@ class LibraryEncoder:
     """The tokenizers library behind a memo of words.
 
     Text is cut into the pattern's words here, vectorised, and only words that the
-    memo has not yet are given to the library, many in one call with a line break
-    between them. Texts with special tokens, and with characters that this
-    Python's Unicode data does not know, go to the library whole.
+    memo has not yet are given to the library: to its model, which merges them, in
+    the letters that stand for their bytes, for there is nothing left to cut. Texts
+    with special tokens, and with characters that this Python's Unicode data does
+    not know, go to the library whole; so do very long words.
     """
 
     def __init__(self, path: str):
@@ -117,41 +122,23 @@ class LibraryEncoder:
         pre = spec["pre_tokenizer"] or {}
         self.known = (
             spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
-            and spec["model"]["type"] == "BPE" and len(self.lib.encode("\n", add_special_tokens=False).ids) == 1
+            and spec["model"]["type"] == "BPE"
         )
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.memo = Memo(self._words, kind=np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32)
-        if self.known:
-            self.brk = self.lib.encode("\n", add_special_tokens=False).ids[0]
+        self.letters = np.array([*map(ord, byte_alphabet())], "<u4")
+        self.letters[0xFF] = ord("\n")  # no byte's letter
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        apart = [k for k, w in enumerate(words) if w.isspace() or "\n" in w]
-        odd = set(apart)
-        rest = [k for k in range(len(words)) if k not in odd] if odd else list(range(len(words)))
-        flat, sizes = [], np.zeros(len(words), np.int64)
-        for i in range(0, len(rest), 1000):
-            some = rest[i : i + 1000]
-            ids = np.array(self.lib.encode_batch_fast(["\n".join([words[k] for k in some])], add_special_tokens=False)[0].ids)
-            gap = ids == self.brk
-            if gap.sum() != len(some) - 1:
-                got = self._whole([words[k] for k in some])
-                flat += [np.array(g) for g in got]
-                sizes[some] = [len(g) for g in got]
-                continue
-            flat.append(ids[~gap])
-            sizes[some] = np.bincount(np.cumsum(gap)[~gap], minlength=len(some))
-        if not apart:
-            return np.concatenate(flat), sizes
-        got = self._whole([words[k] for k in apart])
-        sizes[apart] = [len(g) for g in got]
-        flat += [np.array(g) for g in got]
-        order = rest + apart
-        begin = np.empty(len(words), np.int64)
-        begin[order] = np.cumsum(sizes[order]) - sizes[order]
-        return ragged(np.concatenate(flat), begin, sizes), sizes
+        raw = np.frombuffer(b"\xff".join([w.encode() for w in words]), np.uint8)  # a byte of no UTF-8 text
+        spelt = self.letters[raw].tobytes().decode("utf-32-le").split("\n")
+        merge = self.lib.model.tokenize
+        ids = [[t.id for t in merge(s)] if len(s) < LONG else self._whole([w])[0] for w, s in zip(words, spelt, strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
