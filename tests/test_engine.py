@@ -1,11 +1,13 @@
 """Histories, store, sources, gate, configuration and export, on small fixtures."""
 
+import hashlib
 import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill import registry
 from tidemill.functions.columns import CURRENT, DELETED, END, EXPORT_DATE, RECORD_HASH, SOURCE, START
 from tidemill.functions.values import export_stamp, export_text, record_hash
 from tidemill.operators import batch as B
@@ -493,3 +495,20 @@ def test_command_line_and_metadata_path(spark, tmp_path):
     assert parse_argv(["--a.b=1", "x", "--flag", "--c=d=e", "--=z", "-q"]) == {"a.b": "1", "c": "d=e"}
     with pytest.raises(ConfigError, match="metadata_path must lie below"):
         run_task(spark, f"file://{tmp_path}/w", csv_task(tmp_path, metadata_path=f"file://{tmp_path}/elsewhere"))
+
+
+def test_checksums_of_delivered_files_are_streamed(spark, tmp_path, monkeypatch):
+    text = "a\u00e9\n" * 5000
+    (tmp_path / "x").write_text(text)
+    io = Files(spark, f"file://{tmp_path}")
+    for name in ("md5", "sha256", "sha512"):
+        assert io.digest(f"file://{tmp_path}/x", name) == hashlib.new(name, text.encode()).hexdigest()
+    read = Files.read
+
+    def small(self, p):
+        assert not p.endswith(".csv"), f"{p} is held by the driver"
+        return read(self, p)
+
+    monkeypatch.setattr(Files, "read", small)
+    got = registry.queries()["export_manifest"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 2 and all(r["checksum_matches"] for r in got)

@@ -6,7 +6,6 @@ the SQL computes the same from the tables alone.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from datetime import datetime
 
@@ -420,7 +419,7 @@ def export_manifest(spark, d):
     root, out, _ = _exported(spark, d)
     m = spark.read.option("header", "true").csv(f"{root}/out/{next(n for n in out if n.endswith('_manifest.csv'))}")
     io = Files(spark, root)
-    sums = {n: hashlib.sha256(io.read(f"{root}/out/{n}").encode()).hexdigest() for n in out if n.endswith(".csv")}
+    sums = {n: io.digest(f"{root}/out/{n}", "sha256") for n in out if n.endswith(".csv")}
     right = F.col("checksum") == F.create_map(*[F.lit(x) for pair in sums.items() for x in pair])[F.col("export_file_name")]
     return m.select("object", "object_type", "version", "row_count", "export_file_name", right.alias("checksum_matches"))
 
