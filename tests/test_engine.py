@@ -17,7 +17,7 @@ from tidemill.operators.errors import AmbiguousMerge, ConfigError, IncompatibleC
 from tidemill.plans import config as C
 from tidemill.plans.export import digest_and_count, run_export
 from tidemill.plans.task import parse_argv, run_task
-from tidemill.sources.files import by_header
+from tidemill.sources.files import by_header, read_json
 from tidemill.sources.store import ConcurrentWrite, Files, Store
 from tidemill.sources.tables import after, kind_of
 
@@ -512,3 +512,37 @@ def test_checksums_of_delivered_files_are_streamed(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(Files, "read", small)
     got = registry.queries()["export_manifest"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 2 and all(r["checksum_matches"] for r in got)
+
+
+ODD_DOCUMENTS = {
+    "plain": ['{"a": 1, "b": {"c": [1, 2]}}', '{"a": 1.5,\n "d": "x\u00e9"}', '[{"a": null}, {"e": true}]', "", '{"b": {"z": "t"}}'],
+    "malformed": ['{"a": 1}', '{"a": '],
+    "not UTF-8": ['{"a": 1}'.encode("utf-16-le"), '{"b": "\u00e9"}'.encode("utf-8-sig"), b'{"c": 2}'],
+    "bad bytes": [b'{"a": "\xff"}', b'{"c": 2}'],
+}
+
+
+@pytest.mark.parametrize("kind", ODD_DOCUMENTS)
+def test_schema_of_documents_is_that_of_spark(spark, tmp_path, kind):
+    for i, text in enumerate(ODD_DOCUMENTS[kind]):
+        (tmp_path / f"T{i}_20260101000000.json").write_bytes(text if isinstance(text, bytes) else text.encode())
+    paths = [f"file://{p}" for p in sorted(tmp_path.glob("*.json"))]
+    want = spark.read.option("multiLine", "true").json(paths)
+    got = read_json(spark, paths, {}, "datetime").drop(SOURCE, EXPORT_DATE)
+    assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_many_small_documents_are_dealt_over_few_tasks(spark, tmp_path):
+    for i in range(150):
+        (tmp_path / f"T{i}_20260101000000.json").write_text(f'{{"a": {i}}}')
+    sc, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    sc.setJobGroup("documents", "")
+    try:
+        df = read_json(spark, [f"file://{p}" for p in tmp_path.glob("*.json")], {}, "datetime")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("documents")]
+    tasks = [sc.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert tasks and 1 < min(tasks) and max(tasks) <= 4 * sc.defaultParallelism, "one task for each path, or one for all"
+    assert df.count() == 150 and spark.conf.get(name) == before

@@ -495,9 +495,11 @@ def stream_csv_to_bronze(spark, d):
 @query("select cast(conv_id as varchar) as CONV_ID, cast(turn as varchar) as TURN, role as ROLE from conversations")
 def stream_json_envelope(spark, d):
     root = scratch(spark)
-    items = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("c")).agg(F.collect_list(F.struct("conv_id", "turn", "role")).alias("data"))
-    items.select("c", F.struct(F.lit("20240115103000").alias("export_date")).alias("metadata"), "data").write.partitionBy("c").json(f"{root}/raw")
-    _placed_all(spark, f"{root}/raw", f"{root}/inbound/conv/CONV_{{}}_20240115103000.json")
+    c = table(spark, d, "conversations").repartition(4 * spark.sparkContext.defaultParallelism, "conv_id")
+    items = c.groupBy("conv_id").agg(F.collect_list(F.struct("conv_id", "turn", "role")).alias("data"))
+    # a file of one document for each conversation, named and committed by the task that writes it
+    named = {"maxRecordsPerFile": 1, "mapreduce.output.basename": "CONV_20240115103000", "mapreduce.fileoutputcommitter.algorithm.version": 2}
+    items.select(F.struct(F.lit("20240115103000").alias("export_date")).alias("metadata"), "data").write.options(**named).json(f"{root}/inbound/conv")
     ctx = _task(spark, root, source__origin="json", source__path=f"{root}/inbound", source__directory="conv", source__preprocessors="record_envelope", source__envelope_fields="conv_id, turn, role", output__verb="append", output__schema_name="bronze", output__table="CONV")
     return ctx.target.read().select("CONV_ID", "TURN", "ROLE")
 
@@ -518,13 +520,3 @@ def _placed(spark, folder: str, goal: str) -> None:
     part = next(n for n in fs.names(folder) if n.startswith("part-"))
     fs.fs.mkdirs(fs.path(goal.rsplit("/", 1)[0]))
     fs.fs.rename(fs.path(f"{folder}/{part}"), fs.path(goal))
-
-
-def _placed_all(spark, folder: str, goal: str) -> None:
-    """Move the part file of each of a folder's partitions to a name that has the partition's value."""
-    from .sources.store import Files
-
-    fs = Files(spark, folder)
-    for part in fs.names(folder):
-        if "=" in part:
-            _placed(spark, f"{folder}/{part}", goal.format(part.split("=")[1]))

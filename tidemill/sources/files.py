@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,18 @@ def inbound_glob(path: str, directory: str, extension: str) -> str:
     return f"{path.rstrip('/')}/{directory.strip('/')}/*.{letters}"
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Spark looks at paths that it is given by a task each, up to 10,000 tasks; here a few tasks look at many each."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class KnownColumns:
     """The columns a source has had so far, kept in the task's schema location, and what a new one means."""
 
@@ -99,28 +114,46 @@ def by_header(spark: SparkSession, paths: list[str], opts: dict) -> dict[tuple,
 def read_csv(spark: SparkSession, paths: list[str], options: dict, pattern: str) -> DataFrame:
     """Delimited text with every column as string. Files are grouped by their header, for Spark maps columns by place."""
     opts = {"sep": options.get("delimiter", ","), "quote": options.get("quote") or '"', "escape": options.get("escape", "\\"), "multiLine": str(options.get("multiline", True)).lower(), "ignoreMissingFiles": "true"}
-    if not options.get("header", True):
-        df = spark.read.options(header="false", inferSchema="false", **opts).csv(paths)
-        return add_provenance(df, pattern)
-    out = None
-    for names, files in by_header(spark, paths, opts).items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        part = add_provenance(spark.read.options(header="true", **opts).schema(schema).csv(files), pattern)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    with few_listing_tasks(spark):
+        if not options.get("header", True):
+            df = spark.read.options(header="false", inferSchema="false", **opts).csv(paths)
+            return add_provenance(df, pattern)
+        out = None
+        for names, files in by_header(spark, paths, opts).items():
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            part = add_provenance(spark.read.options(header="true", **opts).schema(schema).csv(files), pattern)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+
+def document_schema(spark: SparkSession, reader, paths: list[str]) -> T.StructType:
+    """The schema that Spark infers from files of one document each.
+
+    Spark's own inference of such files packs them by size, so thousands of small
+    ones are opened by one task. As texts they are dealt over tasks by their number.
+    Documents that are not plain UTF-8 (which the reader tells by their first bytes)
+    or too large for a row are left to Spark.
+    """
+    texts = spark.read.option("ignoreMissingFiles", "true").text(paths, wholetext=True)
+    first = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
+    plain = F.call_function("is_valid_utf8", "value") & ~first.rlike("^EFBBBF|^(..){0,3}00")
+    texts = texts.select(F.when(plain, F.col("value")).otherwise(F.raise_error(F.lit("not plain UTF-8"))).alias("value"))
+    strings = getattr(texts._jdf, "as")(spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING())
+    try:
+        return T.StructType.fromJson(json.loads(reader._jreader.json(strings).schema().json()))
+    except PySparkException:
+        return reader.json(paths).schema
 
 
 def read_json(spark: SparkSession, paths: list[str], options: dict, pattern: str) -> DataFrame:
     """JSON documents (one per file unless ``multiline`` is false); ``schema_hints`` fixes columns by DDL."""
-    reader = spark.read.option("multiLine", str(options.get("multiline", True)).lower()).option("ignoreMissingFiles", "true")
-    if options.get("escape"):
-        reader = reader.option("escape", options["escape"])
-    df = reader.json(paths)
-    if hints := options.get("schema_hints"):
-        fixed = T._parse_datatype_string(hints)
-        rest = [f for f in df.schema if f.name.lower() not in {x.name.lower() for x in fixed}]
-        df = reader.schema(T.StructType([*fixed.fields, *rest])).json(paths)
-    return add_provenance(df, pattern)
+    make = lambda: spark.read.options(multiLine=str(options.get("multiline", True)).lower(), ignoreMissingFiles="true", **({"escape": options["escape"]} if options.get("escape") else {}))
+    with few_listing_tasks(spark):
+        schema = document_schema(spark, make(), paths) if options.get("multiline", True) and len(paths) > 1 else make().json(paths).schema
+        if hints := options.get("schema_hints"):
+            fixed = T._parse_datatype_string(hints)
+            schema = T.StructType([*fixed.fields, *[f for f in schema if f.name.lower() not in {x.name.lower() for x in fixed}]])
+        return add_provenance(make().schema(schema).json(paths), pattern)
 
 
 def read_sas(spark: SparkSession, paths: list[str], options: dict, pattern: str) -> DataFrame:

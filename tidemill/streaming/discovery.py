@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import few_listing_tasks
 from ..sources.store import Files
 
 DISCOVERY = "path string, modificationTime timestamp, length long, content binary"
@@ -32,6 +33,7 @@ def drain(spark: SparkSession, glob: str, checkpoint: str, handle: Callable[[lis
             stream = json.loads(files.read(f"{checkpoint}/metadata"))["id"]
             handle(sorted(paths), (stream, batch_id))
 
-    found = spark.readStream.schema(DISCOVERY).format("binaryFile").option("maxFilesPerTrigger", most).load(glob).select("path")
-    query = found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with few_listing_tasks(spark):
+        found = spark.readStream.schema(DISCOVERY).format("binaryFile").option("maxFilesPerTrigger", most).load(glob).select("path")
+        query = found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
