@@ -546,3 +546,14 @@ def test_many_small_documents_are_dealt_over_few_tasks(spark, tmp_path):
     tasks = [sc.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
     assert tasks and 1 < min(tasks) and max(tasks) <= 4 * sc.defaultParallelism, "one task for each path, or one for all"
     assert df.count() == 150 and spark.conf.get(name) == before
+
+
+def test_no_task_of_an_export_writes_a_whole_table(spark, tmp_path):
+    w = f"file://{tmp_path}/w"
+    Store(spark, w).table("c_dev.gold.SITE").write(spark.range(0, 1000, numPartitions=4).selectExpr("cast(id as string) as ID", "concat('a\n\"', id) as A"), "APPEND")
+    flat = {"catalog": "c", "env": "dev", "export.name": "SITES", "export.schema_name": "gold", "export.preparation_path": f"file://{tmp_path}/prep", "export.stamp_format": "%Y", "export.checksum": "sha256", "export.package": "files", "export.destination": f"file://{tmp_path}/out"}
+    run_export(spark, w, flat)
+    parts = list((tmp_path / "prep/exports_temp/SITES/SITE").rglob("part-*"))
+    sizes, out = [p.stat().st_size for p in parts], (tmp_path / "out/SITE.csv").read_bytes()
+    assert len(parts) > 2 and max(sizes) < len(out) / 2 and sum(sizes) == len(out)
+    assert out.startswith(b"ID,A\n") and sorted(out[5:].decode().split('"\n')) == sorted([f'{i},"a\n""{i}' for i in range(1000)] + [""])

@@ -115,10 +115,26 @@ def column_problems(df: DataFrame, c: ExportConfig, name: str) -> list[str]:
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    """RFC 4180 with a header: quotes doubled, nothing trimmed, null empty and the empty string quoted. The read stays parallel; one task writes."""
-    df.repartition(1).write.mode("overwrite").options(
-        header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", nullValue="", emptyValue='""', lineSep="\n", encoding="UTF-8"
-    ).csv(folder)
+    """RFC 4180: quotes doubled, nothing trimmed, null empty and the empty string quoted. Rows are written by as many tasks as read them, the header apart."""
+    exact = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": '""', "lineSep": "\n", "encoding": "UTF-8"}
+    df.limit(0).coalesce(1).write.mode("overwrite").options(header="true", **exact).csv(f"{folder}/header")
+    df.write.mode("overwrite").options(header="false", **exact).csv(f"{folder}/rows")
+
+
+def joined(fs: Files, folder: str, local: str) -> None:
+    """The header and the parts of the rows, one after the other, as one local file; streamed."""
+    out = fs.jvm.java.io.FileOutputStream(local)
+    try:
+        for sub in ("header", "rows"):
+            parts = [n for n in fs.names(f"{folder}/{sub}") if n.startswith("part-")]
+            for n in sorted(parts, key=lambda n: (len(n), n)):
+                stream = fs.fs.open(fs.path(f"{folder}/{sub}/{n}"))
+                try:
+                    fs.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out)
+                finally:
+                    stream.close()
+    finally:
+        out.close()
 
 
 def digest_and_count(stream, algorithm: str) -> tuple[str, int]:
@@ -180,9 +196,8 @@ def run_export(spark: SparkSession, warehouse: str, flat: dict) -> list[str]:
         for name, df, version in plan:
             try:
                 write_csv(shaped(df, c, name), f"{temp}/{name}")
-                part = next(n for n in fs.names(f"{temp}/{name}") if n.startswith("part-"))
                 file = f"{name}_{stamp}.csv" if c.with_ts_object_names else f"{name}.csv"
-                fs.fs.copyToLocalFile(False, fs.path(f"{temp}/{name}/{part}"), fs.path(f"file://{work}/{file}"), True)
+                joined(fs, f"{temp}/{name}", f"{work}/{file}")
                 with open(f"{work}/{file}", "rb") as f:
                     checksum, rows = digest_and_count(f, c.checksum)
                 if version is not None and (there := df.count()) != rows:
