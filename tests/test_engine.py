@@ -1,6 +1,7 @@
 """Histories, store, sources, gate, configuration and export, on small fixtures."""
 
 import hashlib
+import os
 import random
 from datetime import datetime
 
@@ -15,7 +16,7 @@ from tidemill.operators import merges as M
 from tidemill.operators import shape as S
 from tidemill.operators.errors import AmbiguousMerge, ConfigError, IncompatibleColumns, PlatformViolation, PolicyViolation
 from tidemill.plans import config as C
-from tidemill.plans.export import digest_and_count, run_export
+from tidemill.plans.export import digest_and_count, joined, read_csv, run_export, write_csv
 from tidemill.plans.task import parse_argv, run_task
 from tidemill.sources.files import by_header, read_json
 from tidemill.sources.store import ConcurrentWrite, Files, Store
@@ -557,3 +558,27 @@ def test_no_task_of_an_export_writes_a_whole_table(spark, tmp_path):
     sizes, out = [p.stat().st_size for p in parts], (tmp_path / "out/SITE.csv").read_bytes()
     assert len(parts) > 2 and max(sizes) < len(out) / 2 and sum(sizes) == len(out)
     assert out.startswith(b"ID,A\n") and sorted(out[5:].decode().split('"\n')) == sorted([f'{i},"a\n""{i}' for i in range(1000)] + [""])
+
+
+@pytest.mark.parametrize("block", [47, 1000, 1 << 27])
+def test_exported_files_are_written_and_read_in_parts(spark, tmp_path, block):
+    rng = random.Random(block)
+    texts = [None, "", 'a "b",\n c', "\n\n", '"', '\r\n"x"\n', " pad ", "long " * 30 + "\n" + "é" * 40, "k,l", "\\"]
+    rows = [(str(i), rng.choice(texts), rng.choice(texts)) for i in range(200)]
+    df = spark.createDataFrame(rows, "`i d` string, `a \"q\"\nb` string, c string").repartition(5)
+    write_csv(df, f"file://{tmp_path}/t")
+    joined(Files(spark, f"file://{tmp_path}"), f"file://{tmp_path}/t", f"{tmp_path}/t.csv")
+    assert len([n for n in os.listdir(tmp_path / "t/rows") if n.startswith("part-")]) > 1
+    with open(tmp_path / "t.csv", "rb") as f:
+        assert digest_and_count(f, "md5")[1] == 200
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for n in before:
+            spark.conf.set(n, block)
+        got = read_csv(spark, f"file://{tmp_path}/t.csv", emptyValue="(empty)").replace("(empty)", "")
+        assert got.columns == df.columns
+        assert got.rdd.getNumPartitions() > 1 or block > 1000
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

@@ -9,16 +9,24 @@ import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 from zoneinfo import ZoneInfo, available_timezones
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import is_own
 from ..functions.values import export_text
 from ..operators.errors import ConfigError, PlatformViolation
 from ..operators.shape import q
+from ..sources.files import first_record
 from ..sources.store import Files, Store
 from .audit import Audit, Identity
 from .config import coerced, nested
@@ -137,6 +145,28 @@ def joined(fs: Files, folder: str, local: str) -> None:
         out.close()
 
 
+def read_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A file that an export wrote, as text, read by a task for each of its blocks though quoted values hold line feeds.
+
+    A line starts a record if the quotes before it are even in number. A first pass
+    counts them by block; records that blocks cut in two are put together at the end.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_block_start").alias("block"))
+    quotes = F.length("value") - F.length(F.call_function("replace", F.col("value"), F.lit('"')))
+    odd, sums = {}, 0
+    for block, n in sorted(lines.groupBy("block").agg(F.sum(quotes)).collect()):
+        odd[block], sums = sums % 2, sums + n
+    of = lambda cut: lines.mapInArrow(records(odd, cut), "value string, block long, tail boolean, top boolean")
+    pieces = of(True).select("*", F.count(F.when(F.col("tail"), 1)).over(W.orderBy("block", "tail")).alias("record"))
+    glued = pieces.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("block", "tail", "value")))["value"].alias("parts"), F.max("top").alias("top"))
+    rows = of(False).where("not top").select("value").unionAll(glued.where("not top").select(F.array_join("parts", "\n")))
+    head = first_record(Files(spark, path), path, '"').decode()
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in next(csv.reader(io.StringIO(head, newline="")), [])])
+    exact = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "", "mode": "FAILFAST"}
+    fields = F.from_csv("value", schema.toDDL(), exact | options)
+    return rows.where("value <> ''").select(fields.alias("r")).select("r.*")
+
+
 def digest_and_count(stream, algorithm: str) -> tuple[str, int]:
     """Checksum of a CSV file and its records (line feeds outside quotes, less the header), in one read."""
     h, feeds, inside = hashlib.new(algorithm), 0, False
@@ -151,6 +181,64 @@ def digest_and_count(stream, algorithm: str) -> tuple[str, int]:
     return h.hexdigest(), max(feeds - 1, 0)
 
 
+def records(odd: dict[int, int], cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from the lines of blocks to their whole records or, with ``cut``, to the pieces of records that a block's end cuts.
+
+    ``odd`` tells of every block whether it begins inside quotes. A record's first piece
+    is its ``tail``, the tail of a block; ``top`` marks the file's first record.
+    """
+
+    def rows(texts: pa.Array, block: int, tail: bool, top: np.ndarray) -> pa.RecordBatch:
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([texts, pa.array(np.full(n, block)), pa.array(np.full(n, tail)), pa.array(top)], ["value", "block", "tail", "top"])
+
+    def run(batches):
+        block, inside, fresh, tail, top = None, 0, False, False, False
+        held: list[str] = []  # lines of a record that is open
+
+        def closed(complete: bool):
+            if held:
+                text = pa.array(["\n".join(held)])
+                held.clear()
+                if cut != (tail and complete):
+                    yield rows(text, block, tail, np.array([top]))
+
+        for batch in batches:
+            values, blocks = batch.column(0), batch.column(1).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
+            for at, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if at == end:
+                    continue
+                if blocks[at] != block:
+                    yield from closed(False)
+                    block = int(blocks[at])
+                    inside, fresh, tail, top = odd[block], block == 0, False, False
+                part = values.slice(at, end - at)
+                seen = inside + np.cumsum(pc.count_substring(part, '"').to_numpy())
+                begins = np.flatnonzero(np.concatenate([[inside], seen[:-1]]) % 2 == 0)
+                inside = int(seen[-1] % 2)
+                n = int(begins[0]) if len(begins) else len(part)
+                held.extend(part.slice(0, n).to_pylist())
+                if len(begins) or not inside:
+                    yield from closed(True)
+                if not len(begins):
+                    continue
+                last = len(begins) - inside  # of the records that begin here, the last may be open
+                if last and not cut:
+                    stop = int(begins[last]) if inside else len(part)
+                    texts = part.slice(n, stop - n)
+                    if last < stop - n:
+                        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(begins[:last], stop) - n, pa.int32()), texts), "\n")
+                    yield rows(texts, block, True, fresh & (np.arange(last) == 0))
+                if inside:
+                    held.extend(part.slice(int(begins[-1])).to_pylist())
+                    tail, top = True, fresh and not last
+                fresh = False
+        yield from closed(False)
+
+    return run
+
+
 def listed(spark: SparkSession, store: Store, catalog: str, schema: str) -> dict[str, str]:
     """What a schema holds: the store's tables, and views of the session's catalog; a temporary view belongs to no schema."""
     views = spark.catalog.listTables(schema) if spark.catalog.databaseExists(schema) else []

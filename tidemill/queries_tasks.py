@@ -19,7 +19,7 @@ from .operators import shape as S
 from .operators.errors import ConfigError, PlatformViolation, PolicyViolation
 from .plans import audit, layout
 from .plans import config as C
-from .plans.export import listed, run_export
+from .plans.export import listed, read_csv, run_export
 from .plans.task import parse_argv
 from .queries import DELETED_SQL, HALVES_SQL, REPLAY_SQL, TIME, _placed, _task, feed, halves, history, query, scratch, table
 from .sources.files import READERS
@@ -409,7 +409,7 @@ def _exported(spark, d, **more):
 def export_files(spark, d):
     """The file of a table, read back as text."""
     root, _, _ = _exported(spark, d)
-    text = spark.read.options(header="true", escape='"', multiLine="true", nullValue="", emptyValue="(empty)", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/out/ORDERS.csv")
+    text = read_csv(spark, f"{root}/out/ORDERS.csv", emptyValue="(empty)")
     return text.replace("(empty)", "", ["REMARK"])
 
 
