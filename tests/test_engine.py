@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import zipfile
 from datetime import datetime
 
 import pytest
@@ -582,3 +583,19 @@ def test_exported_files_are_written_and_read_in_parts(spark, tmp_path, block):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_an_archive_is_looked_into_and_not_loaded(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x", os.urandom(3 << 20))
+        z.writestr("y", b"yes")
+    with Files(spark, f"file://{tmp_path}").opened(f"file://{tmp_path}/a.zip") as f:
+        z = zipfile.ZipFile(f)
+        assert z.namelist() == ["x", "y"] and z.read("y") == b"yes" and f.taken < 100_000
+        assert z.testzip() is None
+
+    def loaded(self, name):
+        raise AssertionError("a whole archive in a row")
+
+    monkeypatch.setattr(type(spark.read), "format", loaded)
+    assert [r["files_inside"] for r in registry.queries()["export_zip"](spark, "/root/testdata/sf0.001").collect()] == [2, None]

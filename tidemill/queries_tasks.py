@@ -438,12 +438,11 @@ def export_delivery(spark, d):
 
 @query("select 'GOLD.zip' as file, 2 as files_inside union all select 'GOLD.zip.sha256', null")
 def export_zip(spark, d):
-    import io
     import zipfile
 
     root, out, _ = _exported(spark, d, export__package="zip", export__with_ts_zip="false", export__with_manifest="false")
-    raw = bytes(spark.read.format("binaryFile").load(f"{root}/out/GOLD.zip").first()["content"])
-    inside = zipfile.ZipFile(io.BytesIO(raw)).namelist()
+    with Files(spark, root).opened(f"{root}/out/GOLD.zip") as f:
+        inside = zipfile.ZipFile(f).namelist()
     return rows(spark, [(n, len(inside) if n.endswith(".zip") else None) for n in out], "file string, files_inside int")
 
 
