@@ -151,11 +151,11 @@ def read_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
     A line starts a record if the quotes before it are even in number. A first pass
     counts them by block; records that blocks cut in two are put together at the end.
     """
-    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("size"))
     quotes = F.length("value") - F.length(F.call_function("replace", F.col("value"), F.lit('"')))
     odd, sums = {}, 0
-    for block, n in sorted(lines.groupBy("block").agg(F.sum(quotes)).collect()):
-        odd[block], sums = sums % 2, sums + n
+    for block, size, n in sorted(lines.groupBy("block", "size").agg(F.sum(quotes)).collect()):
+        odd[block, size], sums = sums % 2, sums + n
     of = lambda cut: lines.mapInArrow(records(odd, cut), "value string, block long, tail boolean, top boolean")
     pieces = of(True).select("*", F.count(F.when(F.col("tail"), 1)).over(W.orderBy("block", "tail")).alias("record"))
     glued = pieces.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("block", "tail", "value")))["value"].alias("parts"), F.max("top").alias("top"))
@@ -181,10 +181,10 @@ def digest_and_count(stream, algorithm: str) -> tuple[str, int]:
     return h.hexdigest(), max(feeds - 1, 0)
 
 
-def records(odd: dict[int, int], cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def records(odd: dict[tuple[int, int], int], cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function from the lines of blocks to their whole records or, with ``cut``, to the pieces of records that a block's end cuts.
 
-    ``odd`` tells of every block whether it begins inside quotes. A record's first piece
+    ``odd`` tells of every block, by its begin and size, whether it begins inside quotes; other blocks fail. A record's first piece
     is its ``tail``, the tail of a block; ``top`` marks the file's first record.
     """
 
@@ -212,7 +212,7 @@ def records(odd: dict[int, int], cut: bool) -> Callable[[Iterator[pa.RecordBatch
                 if blocks[at] != block:
                     yield from closed(False)
                     block = int(blocks[at])
-                    inside, fresh, tail, top = odd[block], block == 0, False, False
+                    inside, fresh, tail, top = odd[block, batch.column(2)[at].as_py()], block == 0, False, False
                 part = values.slice(at, end - at)
                 seen = inside + np.cumsum(pc.count_substring(part, '"').to_numpy())
                 begins = np.flatnonzero(np.concatenate([[inside], seen[:-1]]) % 2 == 0)
